@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALL = "__all"
+_WHOLE = "__whole"
 
 
 def _bucket_count(df: DataFrame) -> int:
@@ -30,9 +31,9 @@ def running_counts(df: DataFrame, value: str, weights: Sequence[str], by: Sequen
 
     ``df`` holds one row per (``by``, ``value``); group keys and values are not NULL.
     """
-    keys = list(by) or [ALL]
+    keys = list(by) or [_WHOLE]
     if not by:
-        df = df.withColumn(ALL, F.lit(0))
+        df = df.withColumn(_WHOLE, F.lit(0))
     buckets = _bucket_count(df)
     cuts = F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 10 * buckets)
     sketch = df.groupBy(*keys).agg(
@@ -53,7 +54,7 @@ def running_counts(df: DataFrame, value: str, weights: Sequence[str], by: Sequen
     out = placed.join(offsets, keys + ["__bucket"])
     for w in weights:
         out = out.withColumn(f"{w}_before", F.coalesce(F.sum(w).over(inside), F.lit(0)) + F.col(f"__o_{w}"))
-    return out.drop("__bucket", ALL, *[f"__o_{w}" for w in weights])
+    return out.drop("__bucket", _WHOLE, *[f"__o_{w}" for w in weights])
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), cast: str | None = None) -> DataFrame:
@@ -90,12 +91,16 @@ def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFra
     return found.groupBy(*by).agg(*wide)
 
 
-def average_rank(df: DataFrame, value: str, ascending: bool = True, name: str = "rank", by: Sequence[str] = ()) -> DataFrame:
-    """Rank with ties averaged; rows whose value is NULL get a NULL rank."""
+def rank_table(df: DataFrame, value: str, ascending: bool = True, name: str = "rank", by: Sequence[str] = ()) -> DataFrame:
+    """``by..., <value>, <name>``: the tie-averaged rank of every distinct value."""
     counted = running_counts(value_counts(df, value, by), value, ["n"], by)
     below = F.col("n_before") if ascending else F.col("n_total") - F.col("n_before") - F.col("n")
-    ranks = counted.select(*by, value, (below + (F.col("n") + 1) / 2).alias(name))
-    return df.join(ranks, [*by, value], "left")
+    return counted.select(*by, value, (below + (F.col("n") + 1) / 2).alias(name))
+
+
+def average_rank(df: DataFrame, value: str, ascending: bool = True, name: str = "rank", by: Sequence[str] = ()) -> DataFrame:
+    """Rank with ties averaged; rows whose value is NULL get a NULL rank."""
+    return df.join(rank_table(df, value, ascending, name, by), [*by, value], "left")
 
 
 def positions(df: DataFrame, order: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmentry.functions import text as txt
-from segmentry.operators.order import average_rank, exact_quantiles, unpivot
+from segmentry.operators.order import exact_quantiles, rank_table, unpivot
 
 MISSING = "Missing"
 
@@ -102,13 +102,14 @@ def cramers_v(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return stats.select(*pair, value.alias("cramers_v"))
 
 
-def spearman(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """Rank correlation of every pair of columns (pairwise complete rows are assumed complete)."""
-    long = unpivot(df, columns, [key], "double")
-    ranked = average_rank(long, "value", by=["column"])
-    wide = ranked.groupBy(key).agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in columns])
+def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rank correlation of every pair of columns over the rows that have all of them."""
+    complete = df.select(*columns).dropna()
+    ranked = complete
+    for c in columns:
+        ranked = ranked.join(rank_table(complete, c, name=f"__rank_{c}"), c)
     pairs = list(combinations(columns, 2))
-    row = wide.agg(*[F.corr(a, b).alias(f"__{i}") for i, (a, b) in enumerate(pairs)])
+    row = ranked.agg(*[F.corr(f"__rank_{a}", f"__rank_{b}").alias(f"__{i}") for i, (a, b) in enumerate(pairs)])
     cells = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"__{i}").alias("spearman")) for i, (a, b) in enumerate(pairs)]
     return row.select(F.inline(F.array(*cells)))
 

@@ -484,7 +484,12 @@ _SURVEY_CLEAN = f"""WITH {fx.V_SURVEY}, s0 AS (SELECT * REPLACE (trim("Check") A
   UNION ALL SELECT 'technology', 'no response in any domain', 'exclude rows with all domains missing', count(*) FROM s3 WHERE LanguageHaveWorkedWith IS NULL AND DatabaseHaveWorkedWith IS NULL AND ToolsTechHaveWorkedWith IS NULL
   UNION ALL SELECT 'ConvertedCompYearly', 'non-positive target', 'set to missing', count(*) FROM s3 WHERE ConvertedCompYearly <= 0 AND LanguageHaveWorkedWith IS NOT NULL)""")
 def e3(spark, d):
-    return clean.clean_cohort(fx.v_survey(spark, d), SPEC)[1]
+    return clean.clean_cohort(_raw_layer(spark, d), SPEC)[1]
+
+
+def _raw_layer(spark, d):
+    """The survey view written once, as an ingest stage leaves it."""
+    return src.write_layer(fx.v_survey(spark, d), stage_path(spark, "raw"))
 
 
 @query("e3_clean_cohort", f"""{_SURVEY_CLEAN}, m AS (SELECT c1, median(y1) AS m1, median(y2) AS m2, median(y3) AS m3 FROM s3 GROUP BY 1),
@@ -499,7 +504,7 @@ def e3(spark, d):
     CASE WHEN ConvertedCompYearly > 0 THEN ConvertedCompYearly END AS target
   FROM s5 WHERE LanguageHaveWorkedWith IS NOT NULL OR DatabaseHaveWorkedWith IS NOT NULL OR ToolsTechHaveWorkedWith IS NOT NULL""")
 def e3c(spark, d):
-    cohort = clean.clean_cohort(fx.v_survey(spark, d), SPEC)[0]
+    cohort = clean.clean_cohort(_raw_layer(spark, d), SPEC)[0]
     return cohort.select(
         "row_id", "Country", num6(F.col("YearsCodeNumericImputed")).alias("years"), num6(F.col("YearsCodeProNumericImputed")).alias("years_pro"),
         num6(F.col("WorkExpNumericImputed")).alias("work"), num6(F.col("ExperienceConsensus")).alias("consensus"), num6(F.col("ExperienceSpread")).alias("spread"),
@@ -582,8 +587,7 @@ _RANKED = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) /
   SELECT 'l_quantity', 'l_extendedprice', {r('corr(l_quantity_r, l_extendedprice_r)', 5)} FROM t UNION ALL
   SELECT 'l_discount', 'l_extendedprice', {r('corr(l_discount_r, l_extendedprice_r)', 5)} FROM t""")
 def e11(spark, d):
-    lines = src.table(spark, d, "lineitem").withColumn("row_id", F.col("l_orderkey") * 16 + F.col("l_linenumber"))
-    return prof.spearman(lines, ["l_quantity", "l_discount", "l_extendedprice"], "row_id").withColumn("spearman", num6(F.col("spearman"), 5))
+    return prof.spearman(src.table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_extendedprice"]).withColumn("spearman", num6(F.col("spearman"), 5))
 
 
 @query("e12_repeat_summary", f"""SELECT event_type AS representation, {r('avg(value)')} AS mean, {r('stddev_samp(value)')} AS std, {r('min(value)')} AS min, {r('max(value)')} AS max
