@@ -12,7 +12,7 @@ def lloyd_ctes(source: str, k: int, iterations: int, seed: int) -> str:
 
     def nearest(i: int) -> str:
         return (f"SELECT row_id, any_value(v) AS v, arg_min(cluster, d) AS cluster, min(d) AS d FROM ("
-                f"SELECT row_id, v, cluster, list_distance(v, c) AS d FROM {source}, c{i}) GROUP BY row_id")
+                f"SELECT s.row_id, s.v, t.cluster, list_distance(s.v, t.c) AS d FROM {source} s, c{i} t) GROUP BY row_id")
 
     for i in range(iterations):
         out.append(f"a{i} AS MATERIALIZED ({nearest(i)})")

@@ -28,12 +28,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new folder for a stage table, next to the checkpoints."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table next to the checkpoints and continue from the files.
+
+    A written table also forgets the plan facts (constraints) that ``checkpoint()`` hands on, which
+    would otherwise pile up over the rounds of a loop.
+    """
+    spark = df.sparkSession
+    path = stage_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
