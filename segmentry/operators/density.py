@@ -1,4 +1,4 @@
-"""Density clustering: k-distance curve, DBSCAN and HDBSCAN on exact neighbourhoods."""
+"""Density clustering: k-distance curve and DBSCAN on exact neighbourhoods."""
 
 from __future__ import annotations
 

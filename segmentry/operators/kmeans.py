@@ -140,7 +140,7 @@ def lloyd(df: DataFrame, starts: Sequence[np.ndarray], max_iter: int = 300, tol:
                 centres[r], steps[r] = moved, steps[r] + 1
                 done[r] = shift <= tol * variance
         _, _, inertia = _pass(held, centres, weights)
-        return [Fit(c, float(e), s, d) for c, e, s, d in zip(centres, inertia, steps, done)]
+        return [Fit(c, float(e), s, bool(d)) for c, e, s, d in zip(centres, inertia, steps, done)]
     finally:
         held.unpersist()
 

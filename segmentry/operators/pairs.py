@@ -251,23 +251,30 @@ def distance_summary(df: DataFrame, eps: float | None = None) -> DataFrame:
         F.try_divide(F.sum("total"), F.sum("others")).alias("mean_distance"), F.sum("within").alias("within"))
 
 
-def separation(df: DataFrame) -> DataFrame:
-    """One row: ``max_diameter`` inside clusters and ``min_separation`` between clusters (column ``cluster``)."""
+def separation(df: DataFrame, candidates: Sequence[str] = ("cluster",)) -> DataFrame:
+    """``candidate, max_diameter, min_separation``: largest distance inside and smallest between clusters, per labeling.
+
+    Labels below 0 are left out. All labelings share the pass.
+    """
+    names = list(candidates)
 
     def kernel(left: Side, right: Side | None) -> dict[str, np.ndarray]:
-        inside, between = -np.inf, np.inf
+        inside, between = np.full(len(names), -np.inf), np.full(len(names), np.inf)
         if right is None or (len(left) and len(right)):
             other = left if right is None else right
             d = distances(left.x, other.x)
-            same = left.extra["cluster"][:, None] == other.extra["cluster"][None, :]
             if right is None:
                 np.fill_diagonal(d, 0.0)
-            inside = d[same].max() if same.any() else inside
-            between = d[~same].min() if (~same).any() else between
-        return {"inside": np.array([inside]), "between": np.array([between])}
-
-    parts = cell_map(df, kernel, "inside double, between double", ["cluster"])
-    return parts.agg(F.max("inside").alias("max_diameter"), F.min("between").alias("min_separation"))
+            for i, name in enumerate(names):
+                la, lb = left.extra[name][:, None], other.extra[name][None, :]
+                used, same = (la >= 0) & (lb >= 0), la == lb
+                inside[i] = d[used & same].max(initial=-np.inf)
+                between[i] = d[used & ~same].min(initial=np.inf)
+        return {"candidate": np.arange(len(names), dtype=np.int32), "inside": inside, "between": between}
+
+    parts = cell_map(df, kernel, "candidate int, inside double, between double", names)
+    name = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("candidate") + 1)
+    return parts.groupBy(name.alias("candidate")).agg(F.max("inside").alias("max_diameter"), F.min("between").alias("min_separation"))
 
 
 def cluster_gaps(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmentry.operators.order import average_rank, knee
+from segmentry.operators.order import knee, rank_table
 
 
 def union_scores(*tables: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def rank_synthesis(scores: DataFrame) -> DataFrame:
     criteria = {"silhouette": False, "davies_bouldin": True, "calinski_harabasz": False, "stability": False}
     ranked = scores
     for name, ascending in criteria.items():
-        ranked = average_rank(ranked, name, ascending, f"rank_{name}")
+        ranked = ranked.join(rank_table(scores, name, ascending, f"rank_{name}"), name, "left")
     total = reduce(lambda a, b: a + b, [F.col(f"rank_{c}") for c in criteria])
     ranked = ranked.withColumn("selection_rank_sum", total)
     order = Window.orderBy("selection_rank_sum", "k")  # one row per tested k

@@ -14,6 +14,7 @@ from segmentry.functions.hashing import sign
 from segmentry.operators.moments import centroids, centroids_long, dimension_moments
 from segmentry.operators.order import unpivot
 from segmentry.operators.pairs import cluster_distance_sums, separation
+from segmentry.session import cut_lineage
 
 # Largest set of centres that is shipped to every task.
 MODEL_BYTES = 64 << 20
@@ -118,10 +119,132 @@ def dunn_index(df: DataFrame, max_points: int | None = None, seed: int = 42) ->
     if max_points is not None:
         clusters = df.select("cluster").distinct().count()
         df = sample_per_group(df, "row_id", "cluster", max(2, max_points // max(clusters, 1)), seed, "dunn")
-    parts = separation(df)
-    value = F.when((F.col("max_diameter") > 0) & ~F.isnan("min_separation") & (F.col("min_separation") < float("inf")),
-                   F.col("min_separation") / F.col("max_diameter"))
-    return parts.select(value.alias("dunn"))
+    return dunn_of(separation(df)).select("dunn")
+
+
+def dunn_of(parts: DataFrame) -> DataFrame:
+    """``candidate, dunn`` from separations; NULL without a second cluster or with a zero diameter."""
+    known = (F.col("max_diameter") > 0) & (F.col("min_separation") < float("inf"))
+    return parts.select("candidate", F.when(known, F.col("min_separation") / F.col("max_diameter")).alias("dunn"))
+
+
+# --- Many labelings and many weightings in one pass -----------------------------------------------
+
+RUN = 100_000  # run number = labeling index * RUN + repeat
+
+
+def _plain(df: DataFrame, names: Sequence[str], weights: str | None) -> DataFrame:
+    w = F.col(weights).cast("array<double>") if weights else F.array(F.lit(1.0))
+    return df.select(F.col("v").cast("array<double>").alias("v"), w.alias("w"), *[F.col(c).cast("bigint").alias(c) for c in names])
+
+
+def _members(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(labeling index, cluster, row positions, their weights rows x repeats) of a batch."""
+    w = vec.matrix(batch.column(1))
+    for i in range(len(names)):
+        labels = batch.column(2 + i).to_numpy(zero_copy_only=False)
+        for c in np.unique(labels[labels >= 0]):
+            rows = np.flatnonzero(labels == c)
+            yield i, int(c), rows, w[rows]
+
+
+def labeling_moments(df: DataFrame, names: Sequence[str], weights: str | None = None) -> DataFrame:
+    """``run, cluster, dim, n, total, m2`` of every labeling and every entry of the weight array."""
+    names = list(names)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], list[np.ndarray]] = {}
+        shift = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = vec.matrix(batch.column(0))
+            shift = x.mean(axis=0) if shift is None else shift
+            x = x - shift
+            for i, c, rows, w in _members(batch, names):
+                part = [w.sum(axis=0), w.T @ x[rows], w.T @ (x[rows] ** 2)]
+                known = found.get((i, c))
+                found[i, c] = part if known is None else [a + b for a, b in zip(known, part)]
+        for (i, c), (n, s, q) in found.items():
+            use = np.flatnonzero(n > 0)
+            d = s.shape[1]
+            n, s, q = n[use][:, None], s[use], q[use]
+            m2, total = np.maximum(q - s * s / n, 0.0), s + n * shift
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(i * RUN + use, d).astype(np.int64)), pa.array(np.full(len(use) * d, c)), pa.array(np.tile(np.arange(1, d + 1), len(use))),
+                 pa.array(np.repeat(n[:, 0], d)), pa.array(total.ravel()), pa.array(m2.ravel())], names=["run", "cluster", "dim", "n", "s", "m2"])
+
+    parts = _plain(df, names, weights).mapInArrow(sums, "run bigint, cluster bigint, dim bigint, n double, s double, m2 double")
+    summed = parts.groupBy("run", "cluster", "dim").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("total"), F.sum("m2").alias("m2"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"))
+    spread = F.greatest(F.col("m2") + F.col("q") - F.col("total") * F.col("total") / F.col("n"), F.lit(0.0))
+    return summed.select("run", "cluster", "dim", "n", "total", spread.alias("m2"))
+
+
+def labeling_scatter(df: DataFrame, names: Sequence[str], moments: DataFrame, weights: str | None = None) -> DataFrame:
+    """``run, cluster, centre, spread`` with the weighted mean distance to the centre.
+
+    The centres (labelings x repeats x clusters x dimensions) are a parameter-sized model and go to the tasks.
+    """
+    names = list(names)
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("dim", (F.col("total") / F.col("n")).alias("x")))), lambda c: c["x"])
+    table = cut_lineage(moments.groupBy("run", "cluster").agg(cells.alias("centre")))
+    got = table.toArrow()
+    if got.nbytes > MODEL_BYTES:
+        raise ValueError("too many centres for one pass; score fewer labelings or repeats at once")
+    model: dict[tuple[int, int], dict[int, np.ndarray]] = {}
+    for run, cluster, centre in zip(got.column("run").to_pylist(), got.column("cluster").to_pylist(), vec.matrix(got.column("centre"))):
+        model.setdefault((run // RUN, cluster), {})[run % RUN] = centre
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = vec.matrix(batch.column(0))
+            for i, c, rows, w in _members(batch, names):
+                repeats = sorted(model[i, c])
+                d = vec.distances(x[rows], np.stack([model[i, c][k] for k in repeats]))
+                share = w[:, repeats]
+                part = np.stack([(share * d).sum(axis=0), share.sum(axis=0)])
+                found[i, c] = found[i, c] + part if (i, c) in found else part
+        for (i, c), part in found.items():
+            runs = i * RUN + np.array(sorted(model[i, c]), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(runs), pa.array(np.full(len(runs), c)), pa.array(part[0]), pa.array(part[1])], names=["run", "cluster", "t", "n"])
+
+    parts = _plain(df, names, weights).mapInArrow(sums, "run bigint, cluster bigint, t double, n double")
+    spread = parts.groupBy("run", "cluster").agg((F.sum("t") / F.sum("n")).alias("spread"))
+    return table.join(spread, ["run", "cluster"])
+
+
+def labeling_metrics(df: DataFrame, names: Sequence[str], weights: str | None = None) -> DataFrame:
+    """``candidate, repeat, davies_bouldin, calinski_harabasz, per_row`` of all labelings and weightings in two passes."""
+    moments = cut_lineage(labeling_moments(df, names, weights))
+    db = davies_bouldin_of(labeling_scatter(df, names, moments, weights), "cluster")
+    both = calinski_harabasz_of(moments).select("run", "calinski_harabasz", "per_row").join(db, "run")
+    name = F.element_at(F.array(*[F.lit(c) for c in names]), F.floor(F.col("run") / RUN).cast("int") + 1)
+    return both.select(name.alias("candidate"), (F.col("run") % RUN).cast("int").alias("repeat"), "davies_bouldin", "calinski_harabasz", "per_row")
+
+
+def score_labelings(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Cluster facts and the four internal metrics of every label column of ``row_id, v, ...``; noise is left out.
+
+    Two passes over the pairs (distance sums, separations) and two over the rows serve all labelings.
+    """
+    from segmentry.operators.profiling import balance
+
+    names = list(names)
+    long = unpivot(df, names, ["row_id"], "bigint").withColumnRenamed("column", "candidate").withColumnRenamed("value", "cluster")
+    noise = long.groupBy("candidate").agg(F.avg((F.col("cluster") < 0).cast("double")).alias("noise_fraction"), F.count_if(F.col("cluster") >= 0).alias("evaluated_rows"))
+    facts = noise.join(balance(long, ["candidate"], ignore_noise=True), "candidate", "left")
+    metrics = labeling_metrics(df, names).drop("repeat", "per_row")
+    parts = [facts, mean_silhouette(silhouette_points(df, names)), metrics, dunn_of(separation(df, names)).withColumnRenamed("dunn", "dunn_approx")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "candidate", "left")
+    usable = (F.col("clusters_found") >= 2) & (F.col("clusters_found") < F.col("evaluated_rows"))
+    return out.withColumns({c: F.when(usable, F.col(c)) for c in ("silhouette", "davies_bouldin", "calinski_harabasz", "dunn_approx")})
 
 
 def internal_metrics(df: DataFrame, dunn_points: int | None = 1200, seed: int = 42) -> DataFrame:
@@ -281,18 +404,12 @@ def bootstrap_metrics(df: DataFrame, points: DataFrame, weights: DataFrame, refe
     by = ["candidate", "repeat"]
     external = adjusted_rand(cells, by).withColumnRenamed("ari", "ari_vs_reference").join(
         normalized_mutual_information(cells, by).withColumnRenamed("nmi", "nmi_vs_reference"), by)
-    # Dense integer run and group numbers let one pass of per-dimension sums serve every candidate and repeat.
-    index = F.array_position(F.array(*[F.lit(c) for c in names]), F.col("candidate")).cast("bigint")
-    run = index * 100000 + F.col("repeat")
-    vectors = drawn.withColumn("run", run).join(df.select("row_id", "v"), "row_id")
-    groups = vectors.withColumn("group", F.col("run") * 1000000 + F.col("cluster"))
-    split = {"run": F.floor(F.col("cluster") / 1000000).cast("bigint")}
-    parts = dimension_moments(groups, by="group", weight="weight").withColumns(split)
-    spread = scatter(groups, "group", "weight").withColumn("run", F.floor(F.col("group") / 1000000).cast("bigint"))
-    internal = calinski_harabasz_of(parts).select("run", F.col("per_row").alias("calinski_harabasz_per_row")).join(davies_bouldin_of(spread, "group"), "run")
-    internal = internal.select(
-        F.element_at(F.array(*[F.lit(c) for c in names]), F.floor(F.col("run") / 100000).cast("int")).alias("candidate"),
-        (F.col("run") % 100000).cast("int").alias("repeat"), "calinski_harabasz_per_row", "davies_bouldin")
+    # Draw counts become one weight array per row, so no vector is copied per repeat.
+    last = weights.agg(F.max("repeat").alias("r")).first()["r"]
+    counts = weights.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("repeat", F.col("weight").cast("double")))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    weighted = cut_lineage(df.join(counts, "row_id").withColumn("__w", dense).drop("m"))
+    internal = labeling_metrics(weighted, names, "__w").select(*by, F.col("per_row").alias("calinski_harabasz_per_row"), "davies_bouldin")
     wide = clusters.select(*by).join(silhouette, by).join(external, by).join(internal, by)
     metrics = ["silhouette", "calinski_harabasz_per_row", "davies_bouldin", "ari_vs_reference", "nmi_vs_reference"]
     return unpivot(wide, metrics, by, "double").select(*by, F.col("column").alias("metric"), "value")
