@@ -166,7 +166,7 @@ def minibatch_kmeans(
 ) -> dict[int, Fit]:
     """Centres updated from a fresh hash sample per step with a per-centre learning rate, then one full scoring pass.
 
-    Stops after ``patience`` steps without a better smoothed batch inertia. Centres with fewer than
+    Stops after ``patience`` steps without a smoothed batch inertia better by one part in ten thousand. Centres with fewer than
     ``reassign`` times the largest count move to a row of the current batch.
     """
     from segmentry.functions.hashing import uniform
@@ -200,7 +200,7 @@ def minibatch_kmeans(
             value = inertia[j] / max(n.sum(), 1.0)
             mix = min(1.0, 2.0 * batch / (rows + 1))
             smooth[i] = value if smooth[i] is None else smooth[i] * (1 - mix) + value * mix
-            idle[i] = 0 if smooth[i] < best[i] - 1e-12 else idle[i] + 1
+            idle[i] = 0 if smooth[i] < best[i] * (1 - 1e-4) else idle[i] + 1
             best[i], steps[i] = min(best[i], smooth[i]), steps[i] + 1
     _, _, inertia = _pass(df, centres, None)
     return {k: Fit(c, float(e), s, s < max_iter) for k, c, e, s in zip(ks, centres, inertia, steps)}

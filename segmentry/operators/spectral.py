@@ -21,20 +21,21 @@ def neighbour_graph(df: DataFrame, neighbours: int = 20) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def spectral_embedding(graph: DataFrame, k: int, seed: int, rounds: int = 8, steps: int = 4) -> DataFrame:
+def spectral_embedding(graph: DataFrame, k: int, seed: int, rounds: int = 8, steps: int = 4, guard: int = 3) -> DataFrame:
     """``row_id, v``: the k leading eigenvectors of the normalised adjacency, divided by the root degree.
 
     A step is a join of edges with the current vectors and a sum per source; after ``steps`` of them the block is
-    orthonormalised through its k x k Gram matrix. The operator is shifted to (I + A) / 2, so every eigenvalue is positive.
+    orthonormalised through its Gram matrix. The operator is shifted to (I + A) / 2, so every eigenvalue is positive.
+    ``guard`` further columns take part, because the leading ones then settle faster, and are dropped at the end.
     """
     degree = graph.groupBy("src").agg(F.sum("w").alias("d"))
     left = degree.select("src", F.col("d").alias("ds"))
     right = degree.select(F.col("src").alias("dst"), F.col("d").alias("dd"))
     edges = cut_lineage(graph.join(left, "src").join(right, "dst").select("src", "dst", (F.col("w") / F.sqrt(F.col("ds") * F.col("dd"))).alias("w")))
-    names = [f"u{i}" for i in range(k)]
+    names = [f"u{i}" for i in range(k + guard)]
     # The first eigenvector is known up to scale: the root degree. The others start from hashed numbers.
     root = F.sqrt("d").alias("u0")
-    start = [root] + [(uniform(seed, "spectral", i, F.col("src")) - 0.5).alias(f"u{i}") for i in range(1, k)]
+    start = [root] + [(uniform(seed, "spectral", i, F.col("src")) - 0.5).alias(f"u{i}") for i in range(1, len(names))]
     block = degree.select(F.col("src").alias("row_id"), *start)
     block = _orthonormal(cut_lineage(block), names)
     for _ in range(rounds):
@@ -45,7 +46,7 @@ def spectral_embedding(graph: DataFrame, k: int, seed: int, rounds: int = 8, ste
                 "row_id", *[((F.col(u) + F.coalesce(f"__{u}", F.lit(0.0))) / 2).alias(u) for u in names])
         block = _orthonormal(cut_lineage(block), names)
     scaled = block.join(degree.withColumnRenamed("src", "row_id"), "row_id")
-    return scaled.select("row_id", F.array(*[F.col(u) / F.sqrt("d") for u in names]).alias("v"))
+    return scaled.select("row_id", F.array(*[F.col(u) / F.sqrt("d") for u in names[:k]]).alias("v"))
 
 
 def _orthonormal(block: DataFrame, names: list[str]) -> DataFrame:
