@@ -247,7 +247,7 @@ def m10(spark, d):
 @query("m12_gaussian_mixture")
 def m12(spark, d):
     rows = _reduced(spark, d)
-    models = mixture.fit_mixtures(rows, 3, seed=SEED, n_init=2, max_iter=60)
+    models = mixture.fit_mixtures(rows, 3, seed=SEED, n_init=1, max_iter=40)
     out = None
     for kind, model in models.items():
         sizes = mixture.mixture_labels(rows, model).groupBy("cluster").agg(F.count("*").alias("rows")).select(F.lit(kind).alias("kind"), "cluster", "rows")
@@ -270,7 +270,7 @@ def m13(spark, d):
     rows = _reduced(spark, d)
     out = None
     for k in (2, 3):
-        for kind, model in mixture.fit_mixtures(rows, k, ("diag", "full"), SEED, n_init=1, max_iter=60).items():
+        for kind, model in mixture.fit_mixtures(rows, k, ("diag", "full"), SEED, n_init=1, max_iter=40).items():
             facts = mixture.mixture_diagnostics(mixture.mixture_labels(rows, model), model).select(F.lit(kind).alias("kind"), F.lit(k).alias("k"), "aic", "bic", "mean_assignment_entropy")
             out = facts if out is None else out.unionByName(facts)
     return out
@@ -684,11 +684,12 @@ def customer_features(spark, d):
     """Order count, mean price and label breadth per customer with orders, and the labels themselves."""
     from segmentry.functions import text as txt
 
-    orders = src.table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("owner"), "o_totalprice")
-    facts = orders.groupBy("owner").agg(F.count("*").cast("double").alias("orders"), F.avg("o_totalprice").alias("price"))
-    labels = fx.v_labels(spark, d).join(orders, "row_id").select("owner", F.explode(txt.split_labels(F.col("types"))).alias("t"))
-    joined = labels.groupBy("owner").agg(F.array_join(F.array_sort(F.collect_set("t")), ";").alias("types"))
-    return facts.join(joined, "owner", "left").withColumnRenamed("owner", "row_id").withColumn("breadth", txt.label_breadth(F.col("types")).cast("double"))
+    orders = src.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("row_id"), "o_totalprice")
+    facts = orders.groupBy("row_id").agg(F.count("*").cast("double").alias("orders"), F.avg("o_totalprice").alias("price"))
+    lines = src.table(spark, d, "lineitem").join(src.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    owned = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("row_id").agg(F.collect_set("p_type").alias("t"))
+    joined = facts.join(owned, "row_id", "left").withColumn("types", F.array_join(F.array_sort("t"), ";")).drop("t")
+    return joined.withColumn("breadth", txt.label_breadth(F.col("types")).cast("double"))
 
 
 _FLAG = fx.V_LABELS + f""", f0 AS MATERIALIZED (SELECT o_custkey AS row_id, count(*)::DOUBLE AS orders, avg(o_totalprice) AS price FROM orders GROUP BY 1),

@@ -17,7 +17,7 @@ from segmentry.plans import fixtures as fx
 from segmentry.plans.fixtures import draw_sql, uniform_sql
 from segmentry.plans.registry import query, r
 from segmentry.plans.table_queries import LABEL_LIST
-from segmentry.session import stage_path
+from segmentry.session import cut_lineage, stage_path
 from segmentry.sources import tables as src
 
 SEED = 42
@@ -129,11 +129,11 @@ query("j5_minmax_scale", f"""SELECT o_orderkey, {r('(o_totalprice - min(o_totalp
 
 
 def mixed_rows(spark, d):
-    """Customers with a number, a category and delimited labels: all part types a customer has ordered."""
-    orders = src.table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("owner"))
-    labels = fx.v_labels(spark, d).join(orders, "row_id").select("owner", F.explode(txt.split_labels(F.col("types"))).alias("t"))
-    joined = labels.groupBy(F.col("owner").alias("row_id")).agg(F.array_join(F.array_sort(F.collect_set("t")), ";").alias("types"))
-    return fx.v_respondent(spark, d).join(joined, "row_id", "left")
+    """Customers with a number, a category and delimited labels (all part types a customer has ordered), written once."""
+    orders = src.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("row_id"))
+    lines = src.table(spark, d, "lineitem").join(src.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    owned = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_set("p_type")), ";").alias("types"))
+    return cut_lineage(fx.v_respondent(spark, d).join(owned, "row_id", "left"))
 
 
 _MIXED = fx.V_LABELS + ", " + fx.V_RESPONDENT + """, v_mixed AS (SELECT r.*, t.types FROM v_respondent r LEFT JOIN (
@@ -166,7 +166,7 @@ def j6(spark, d):
   SELECT row_id, 0::BIGINT AS feature_id, {r('(len(l) - m) / s')} AS value FROM t, q WHERE len(l) <> m
   UNION ALL SELECT row_id, feature_id, 1.0::DOUBLE FROM (SELECT row_id, unnest(l) AS item FROM t) JOIN w USING (item)""")
 def j7(spark, d):
-    rows = fx.v_labels(spark, d).withColumn("breadth", txt.label_breadth(F.col("types")))
+    rows = cut_lineage(fx.v_labels(spark, d).select("row_id", "types", txt.label_breadth(F.col("types")).alias("breadth")))
     model, _ = enc.fit_encoder(rows, ["breadth"], [], ["types"], "robust")
     return _nonzero(model.transform(rows))
 
@@ -231,7 +231,7 @@ def k2(spark, d):
 
 
 def _label_features(spark, d):
-    rows = fx.v_labels(spark, d)
+    rows = cut_lineage(fx.v_labels(spark, d))
     return enc.fit_encoder(rows, [], [], ["types", "brands"])[0].transform(rows).select("row_id", "features")
 
 
