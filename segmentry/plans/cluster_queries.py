@@ -638,7 +638,7 @@ _EVENT_HALVES = "ev AS MATERIALIZED (SELECT 1 AS g, value AS x, row_number() OVE
 
 @query("p1_population_stability", f"WITH {_EVENT_HALVES}, {_psi_sql('ev', 'g')} SELECT {r('psi')} AS psi FROM psi")
 def p1(spark, d):
-    halves = ordering.split_halves(_event_order(spark, d), "place")
+    halves = cut_lineage(ordering.split_halves(_event_order(spark, d), "place"))
     return monitoring.population_stability(halves, "value", F.col("half") == 1, []).select(num6(F.col("psi")).alias("psi"))
 
 
@@ -648,7 +648,7 @@ _KS = """kc AS (SELECT feature, x, sum(ref::INT) AS a, sum((NOT ref)::INT) AS b
 
 @query("p2_ks_statistic", f"WITH {_HALVES}, {_KS} SELECT feature, {r('ks')} AS ks_statistic FROM ks")
 def p2(spark, d):
-    rows = ordering.split_halves(fx.v_vec(spark, d), "row_id")
+    rows = cut_lineage(ordering.split_halves(fx.v_vec(spark, d), "row_id"))
     long = rows.select("half", F.posexplode(vec.head(F.col("v"), 10)).alias("i", "x")).select("half", F.concat(F.lit("PC"), (F.col("i") + 1).cast("string")).alias("feature"), "x")
     return monitoring.ks_statistic(long, "x", F.col("half") == 1, ["feature"]).select("feature", num6(F.col("ks_statistic")).alias("ks_statistic"))
 

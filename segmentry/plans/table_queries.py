@@ -14,7 +14,7 @@ from segmentry.operators import profiling as prof
 from segmentry.operators import sampling as samp
 from segmentry.plans import fixtures as fx
 from segmentry.plans.registry import query, r
-from segmentry.session import stage_path
+from segmentry.session import cut_lineage, stage_path
 from segmentry.sources import tables as src
 
 
@@ -763,6 +763,14 @@ def f6(spark, d):
     return rows.join(ordering.medians(rows, ["balance"], ["country"]), "country").select("row_id", num6(F.col("balance_median")).alias("middle"))
 
 
+@query("f7_rank_curve", f"SELECT row_number() OVER (ORDER BY p_retailprice) AS rank, {r('p_retailprice', 4)} AS price FROM part")
+def f7(spark, d):
+    prices = src.table(spark, d, "part").select(F.col("p_retailprice").alias("price"))
+    counted = ordering.running_counts(ordering.value_counts(prices, "price"), "price", ["n"])
+    ranks = F.sequence(F.col("n_before") + 1, F.col("n_before") + F.col("n"))
+    return counted.select(F.explode(ranks).alias("rank"), num6(F.col("price"), 4).alias("price"))
+
+
 @query("f8_top_labels_per_cluster", f"""WITH {fx.V_LABELS}, o AS (SELECT types, o_orderpriority AS cluster FROM v_labels JOIN orders ON o_orderkey = row_id), s AS (SELECT cluster, count(*) AS n FROM o GROUP BY 1),
   x AS (SELECT cluster, label, count(*) AS respondents FROM (SELECT cluster, unnest({LABEL_LIST.format(c='types')}) AS label FROM o) GROUP BY 1, 2),
   y AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY respondents DESC, label) AS rank FROM x)
@@ -779,7 +787,7 @@ def f8(spark, d):
 def f9(spark, d):
     from segmentry.operators.monitoring import ks_statistic
 
-    halves = ordering.split_halves(_event_order(spark, d), "place")
+    halves = cut_lineage(ordering.split_halves(_event_order(spark, d), "place"))
     return ks_statistic(halves, "value", F.col("half") == 1, []).select(num6(F.col("ks_statistic")).alias("ks_statistic"))
 
 
