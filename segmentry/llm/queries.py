@@ -124,8 +124,8 @@ from documents left join g using (doc_id)
     "op10_near_duplicates": f"""
 with recursive sh as (select distinct doc_id, x.s as s from (select doc_id, unnest({_places(4)}) as x from (select doc_id, {_ASCII_WORDS} as ws from documents))),
 n as (select doc_id, count(*) as n from sh group by doc_id),
-both as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b using (s) where a.doc_id <> b.doc_id group by all),
-links as (select x, y from both join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b using (s) where a.doc_id <> b.doc_id group by all),
+links as (select x, y from common join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)),
 reach as (select doc_id, doc_id as seen from documents union select r.doc_id, l.y from reach r join links l on l.x = r.seen)
 select doc_id, coalesce(max(n.n), 0)::BIGINT as n_shingles, min(seen) as component_id, doc_id = min(seen) as kept from reach left join n using (doc_id) group by doc_id
 """,

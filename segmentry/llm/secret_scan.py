@@ -98,6 +98,10 @@ def span_text(found: Column, rules: dict = RULES) -> Column:
 def secret_digest(docs: DataFrame) -> DataFrame:
     """The digest columns of a scan of ``documents``."""
     scanned = scan_secrets(docs.select("doc_id", "text"))
-    count = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(RULES)]
-    return scanned.select("doc_id", *count, span_text(F.col("found")).alias("spans")).select(
+
+    def count(kind: int, name: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{name}")
+
+    counts = [count(k, name) for k, name in enumerate(RULES)]
+    return scanned.select("doc_id", *counts, span_text(F.col("found")).alias("spans")).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
