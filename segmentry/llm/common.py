@@ -20,6 +20,11 @@ def written(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def without_reserved(df: DataFrame) -> DataFrame:
+    """``df`` without columns whose names begin with two underscores, which the operators use for themselves."""
+    return df.drop(*[c for c in df.columns if c.startswith("__")])
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count finds at most ``limit`` rows; a plain join side otherwise."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

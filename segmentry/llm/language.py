@@ -126,7 +126,7 @@ def training_texts(docs: DataFrame, label: str = "lang", limit: int = TRAIN_TEXT
     """At most ``limit`` rows (label, excerpts) of labelled texts outside the held-out part, drawn evenly over the labels."""
     from pyspark.sql.window import Window
 
-    labelled = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    labelled = docs.select("doc_id", "text", label).filter(F.col(label).isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     share = F.lit(limit) / F.count(F.lit(1)).over(Window.partitionBy()) / F.col("n")
     rates = {r[0]: r[1] for r in counts.select(F.col(label), share.alias("rate")).collect()}
@@ -146,9 +146,9 @@ def train(docs: DataFrame) -> ByteNetwork | None:
     if not languages:
         return None
     pairs = [(e, languages.index(r["label"])) for r in rows for e in r["excerpts"] if e]
-    x, owner, _ = byte_windows([e for e, _ in pairs])
     network = ByteNetwork.untrained(languages)
-    if len(x):
+    if pairs:
+        x, owner, _ = byte_windows([e for e, _ in pairs])
         network.fit(x, np.array([y for _, y in pairs])[owner])
     return network
 

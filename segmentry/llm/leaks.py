@@ -13,7 +13,8 @@ checked there, and the exact similarity afterwards. At similarity 0.8 the expect
 
 Defined results: null and empty texts and null ids leak nothing (a null ``doc_id`` is reported as null if its text
 leaks); items with the same words are one, named by the smallest id; documents with the same text share a result and
-repeated rows are repeated; empty tables give empty results; extra columns are ignored.
+repeated rows are repeated; empty tables give empty results; extra columns are ignored or
+pass through, but ``without_leaks`` drops names that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmentry.llm.common import letter_words, shingle_hashes, small_side, text_key, written
+from segmentry.llm.common import letter_words, shingle_hashes, small_side, text_key, without_reserved, written
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 80
@@ -116,4 +117,5 @@ def leaked_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents whose text leaks no item, unchanged."""
     leaky = written(find_leaks(docs, benchmark, text).select(F.col("blob").alias("__blob")).distinct())
+    docs = without_reserved(docs)
     return docs.withColumn("__key", text_key(F.col(text))).join(small_side(leaky), F.col("__key") == F.col("__blob"), "left_anti").drop("__key")

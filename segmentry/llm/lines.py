@@ -8,7 +8,7 @@ host's set is one array. It is broadcast if the count of all of them is small an
 
 Defined results: a null text stays null and an empty one empty; a null host is a host of its own; blank lines (white
 space only) are never dropped; repeated rows are separate pages; a page that loses every line keeps an empty text;
-an empty table gives an empty result; other columns pass through, whatever their names.
+an empty table gives an empty result; other columns pass through, but names that begin with two underscores are dropped.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmentry.llm.common import BROADCAST_ROWS, written
+from segmentry.llm.common import BROADCAST_ROWS, without_reserved, written
 
 RATIO = 0.02
 MIN_PAGES = 4
@@ -47,6 +47,7 @@ def host_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
 
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with the boilerplate lines of their hosts removed from ``text`` and, last, the number of them."""
+    pages = without_reserved(pages)
     sets = written(host_boilerplate(pages, host, text, ratio, min_pages))
     n_hashes = sets.agg(F.coalesce(F.sum(F.size("drops")), F.lit(0))).first()[0]
     sets = sets.select(F.col("host").alias("__host"), F.col("drops").alias("__drops"))

@@ -10,7 +10,7 @@ often it is taken: documents are never sorted, joined or moved.
 
 Defined results: a null source is a source of its own; texts without words have no tokens, and go with the prefix by
 their hash; a source without tokens is taken once; repeated rows are taken alike; one source gets weight 1; an empty
-table gives an empty result; other columns pass through, whatever their names.
+table gives an empty result; other columns pass through, but names that begin with two underscores are dropped.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from segmentry.llm.common import small_side, written
+from segmentry.llm.common import small_side, without_reserved, written
 
 BLOCKS = 1024
 MAX_REPEATS = 2.0
@@ -114,6 +114,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: list[s
 
     The last three columns are ``__epoch, __mix_block, __tokens``. Every run of mixture blocks has the sources in about their weights.
     """
+    docs = without_reserved(docs)
     plan = mixture_plan(docs, source, text, entropy, max_repeats, budget)
     dealt = _dealt(docs, source, text, key or [c for c in docs.columns if c != text])
     cut = written(_cutoffs(dealt, plan, source))

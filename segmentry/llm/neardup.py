@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmentry.llm.common import ascii_spaced, letter_spaced, shingle_hashes, split_words, text_key, written
+from segmentry.llm.common import ascii_spaced, letter_spaced, shingle_hashes, split_words, written
 from segmentry.operators.graph import connected_components
 
 BANDS = 32
@@ -206,5 +206,4 @@ def keep_one(docs: DataFrame, spaced=letter_spaced, size: int = 5, text: str = "
     once = docs.filter("doc_id is null").unionByName(docs.join(kept.filter("n = 1").select("doc_id"), "doc_id", "left_semi"))
     if repeated.isEmpty():
         return once
-    first = docs.join(repeated, "doc_id", "left_semi").withColumn("__key", text_key(F.col(text)))
-    return once.unionByName(first.dropDuplicates(["doc_id"]).drop("__key"))
+    return once.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

@@ -7,8 +7,8 @@ their encodings gives the text's score. All weights are learnt together from lab
 ``TRAIN_TEXTS`` labelled rows, drawn evenly over the labels by a hash of their ids; a bag used for training has at most
 ``TRAIN_PASSAGES`` passages, spread over the text. Scores read whole texts.
 
-Defined results: null and empty texts are one empty passage and are scored like others; if only one label or none is
-known every score is 0.5 (predicted 0) or that label; a document with several labels takes part with each; repeated rows
+Defined results: null and empty texts are one empty passage and are scored like others; if only one label is known every
+score is that label, and 0.5 if none is; a document with several labels takes part with each; repeated rows
 get equal scores; an empty table gives an empty result; extra columns pass through ``accept`` and are ignored elsewhere.
 """
 
@@ -141,7 +141,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str = "quality", l
     size = F.length("text")
     spread = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_PASSAGES - 1)), lambda i: F.substring(F.col("text"), F.floor(size * i / TRAIN_PASSAGES).cast("int") + 1, F.lit(PASSAGE)))
     excerpts = F.when(size <= TRAIN_PASSAGES * PASSAGE, F.array("text")).otherwise(spread)
-    return docs.filter("text is not null").join(small_side(chosen), "doc_id").select("label", excerpts.alias("excerpts"), "order", "doc_id").orderBy("order", "doc_id").limit(limit).collect()
+    return docs.select("doc_id", "text").filter("text is not null").join(small_side(chosen), "doc_id").select("label", excerpts.alias("excerpts"), "order", "doc_id").orderBy("order", "doc_id").limit(limit).collect()
 
 
 def train(docs: DataFrame, labels: DataFrame) -> GatedBags | float:
@@ -191,7 +191,9 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with their columns."""
+    """The documents that are not rejected, with their columns. Without any label to learn from nothing is rejected."""
     model = train(docs, labels)
+    if model == 0.5:
+        return docs
     name = next(n for n in (f"__score{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
     return _scored(docs, model, "text", docs.columns, name).filter(F.col(name) >= ACCEPTED).drop(name)
