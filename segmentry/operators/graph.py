@@ -2,56 +2,22 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmentry.session import cut_lineage
 
-# A remainder of at most this many edges is finished by one task; the rounds go on above it.
-SMALL_EDGES = 100_000
-
-
-def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Union-find over edges in their given order: node ids, lowest id of each node's component, edges that united."""
-    nodes = np.unique(np.concatenate([a, b]))
-    parent = np.arange(len(nodes))
-    united = np.zeros(len(a), dtype=bool)
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for e, (i, j) in enumerate(zip(np.searchsorted(nodes, a), np.searchsorted(nodes, b))):
-        i, j = find(i), find(j)
-        if i != j:
-            parent[max(i, j)] = min(i, j)
-            united[e] = True
-    return nodes, nodes[[find(i) for i in range(len(nodes))]], united
-
-
-def _in_one_task(edges: DataFrame, function, schema: str) -> DataFrame:
-    """Apply ``function`` to a remainder whose size has been checked."""
-    return edges.withColumn("__one", F.lit(0)).groupBy("__one").applyInArrow(lambda t: function(t.drop_columns(["__one"])), schema)
-
-
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 100, small: int = SMALL_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
     """``row_id, component`` (lowest member id) from ``a_id, b_id`` edges.
 
     Alternating large-star and small-star rounds: every grouping keeps the minimum neighbour, which combines
-    before the shuffle, and the number of rounds grows with the logarithm of the component size. A graph of
-    at most ``small`` edges is finished by one task.
+    before the shuffle, and the number of rounds grows with the logarithm of the component size. The rounds are
+    the same for every size of graph.
     """
     plain = edges.select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")).filter("a <> b").distinct()
     pairs = cut_lineage(plain)
     previous = None
     for _ in range(max_rounds):
-        if pairs.count() <= small:
-            found = _in_one_task(pairs, _label_components, "row_id bigint, component bigint")
-            return _with_single_nodes(found, nodes)
         pairs = cut_lineage(_small_star(_large_star(pairs)))
         state = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == previous:
@@ -64,11 +30,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
     return _with_single_nodes(members.unionByName(roots), nodes)
 
 
-def _label_components(edges: pa.Table) -> pa.Table:
-    nodes, root, _ = _roots(edges.column("a").to_numpy(), edges.column("b").to_numpy())
-    return pa.table({"row_id": nodes, "component": root})
-
-
 def _with_single_nodes(found: DataFrame, nodes: DataFrame | None) -> DataFrame:
     if nodes is None:
         return found
@@ -91,33 +52,24 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     return linked.unionByName(lowest.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def _kruskal(edges: pa.Table) -> pa.Table:
-    edges = edges.sort_by([("weight", "ascending"), ("a_id", "ascending"), ("b_id", "ascending")])
-    _, _, united = _roots(edges.column("ca").to_numpy(), edges.column("cb").to_numpy())
-    return edges.filter(pa.array(united)).select(["a_id", "b_id", "weight"])
-
-
-def spanning_tree(edges: DataFrame, max_rounds: int = 60, small: int = SMALL_EDGES) -> DataFrame:
+def spanning_tree(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Minimum spanning forest of ``a_id, b_id, weight`` (ties by ids), by Boruvka rounds.
 
     Each round takes the cheapest edge out of every component, joins the components it links
-    and drops the edges that became internal. The last ``small`` edges are finished by one task.
+    and drops the edges that became internal, until none is left.
     """
     spark = edges.sparkSession
     live = cut_lineage(edges.select("a_id", "b_id", "weight", F.col("a_id").alias("ca"), F.col("b_id").alias("cb")).filter("ca <> cb"))
     chosen = []
     for _ in range(max_rounds):
-        left = live.count()
-        if left <= small:
-            if left:
-                chosen.append(_in_one_task(live, _kruskal, "a_id bigint, b_id bigint, weight double"))
+        if live.isEmpty():
             break
         order = F.struct("weight", F.least("a_id", "b_id").alias("x"), F.greatest("a_id", "b_id").alias("y"))
         ends = live.select("a_id", "b_id", "weight", F.explode(F.array("ca", "cb")).alias("c"), "ca", "cb")
         best = ends.groupBy("c").agg(F.min_by(F.struct("a_id", "b_id", "weight", "ca", "cb"), order).alias("e"))
         picked = cut_lineage(best.select("e.*").distinct())
         chosen.append(picked.select("a_id", "b_id", "weight"))
-        merged = connected_components(picked.select(F.col("ca").alias("a_id"), F.col("cb").alias("b_id")), small=small)
+        merged = connected_components(picked.select(F.col("ca").alias("a_id"), F.col("cb").alias("b_id")))
         merged = merged.select(F.col("row_id").alias("old"), F.col("component").alias("new"))
         moved = live
         for side in ("ca", "cb"):

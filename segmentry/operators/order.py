@@ -17,7 +17,7 @@ _WHOLE = "__whole"
 
 
 def _bucket_count(df: DataFrame) -> int:
-    return max(2, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1024))
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), **flags: Column) -> DataFrame:

@@ -92,8 +92,7 @@ def test_copies_of_one_row_do_not_multiply_neighbours(spark):
     assert len(near) == 180 and {r["count"] for r in near} == {5}
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_spanning_tree_weight(spark, small):
+def test_spanning_tree_weight(spark):
     x, _ = blobs(80, d=3, sd=2.0)
     d = matrix(x)
     inside, total = [0], 0.0
@@ -102,15 +101,14 @@ def test_spanning_tree_weight(spark, small):
         sub = d[np.ix_(inside, rest)]
         total += sub.min()
         inside.append(rest[int(np.argmin(sub.min(axis=0)))])
-    tree = graph.spanning_tree(pairs.spanning_candidates(frame(spark, x), None), small=small).toPandas()
+    tree = graph.spanning_tree(pairs.spanning_candidates(frame(spark, x), None)).toPandas()
     assert len(tree) == 79 and tree["weight"].sum() == pytest.approx(total)
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_connected_components_of_chain_star_and_single(spark, small):
+def test_connected_components_of_chain_star_and_single(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, i) for i in range(101, 140)]
     nodes = spark.createDataFrame([(i,) for i in [*range(0, 31), *range(100, 140), 500]], "row_id long")
-    found = dict(graph.connected_components(spark.createDataFrame(edges, "a_id long, b_id long"), nodes, small=small).collect())
+    found = dict(graph.connected_components(spark.createDataFrame(edges, "a_id long, b_id long"), nodes).collect())
     assert all(found[i] == 0 for i in range(31)) and all(found[i] == 100 for i in range(100, 140)) and found[500] == 500
 
 
@@ -281,3 +279,29 @@ def test_matching_picks_the_cheapest_assignment(spark):
     a = spark.createDataFrame([(0, [0.0]), (1, [10.0]), (2, [20.0])], "cluster long, centre array<double>")
     b = spark.createDataFrame([(0, [19.0]), (1, [1.0]), (2, [11.0])], "cluster long, centre array<double>")
     assert {(r["a"], r["b"]) for r in stability.match_centres(a, b).collect()} == {(0, 1), (1, 2), (2, 0)}
+
+
+def test_assignment_of_many_centres(spark):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(11, 3))
+    order = rng.permutation(11)
+    table = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cluster long, centre array<double>")
+    found = {(r["a"], r["b"]) for r in stability.match_centres(table(points), table(points[order] + rng.normal(scale=1e-3, size=(11, 3)))).collect()}
+    assert found == {(int(order[b]), b) for b in range(11)}
+
+
+def test_assignment_is_the_cheapest():
+    from itertools import permutations
+
+    for seed in range(30):
+        cost = np.random.default_rng(seed).integers(0, 20, (5, 5)).astype(float)
+        chosen = stability.cheapest_assignment(cost)
+        assert sorted(chosen) == list(range(5))
+        assert sum(cost[i, j] for i, j in enumerate(chosen)) == min(sum(cost[i, j] for i, j in enumerate(p)) for p in permutations(range(5)))
+
+
+def test_agglomeration_that_does_not_finish_is_an_error(spark):
+    items = spark.createDataFrame([(i, 1.0) for i in range(6)], "row_id long, weight double")
+    apart = spark.createDataFrame([(i, j, float(2**j - 2**i)) for i in range(6) for j in range(i + 1, 6)], "a long, b long, d double")
+    with pytest.raises(RuntimeError):
+        hierarchy.agglomerate(items, apart, "single", max_rounds=1)
