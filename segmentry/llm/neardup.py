@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segmentry.llm.common import ascii_spaced, letter_spaced, shingle_hashes, split_words, written
+from segmentry.llm.common import ascii_spaced, letter_spaced, shingle_hashes, small_side, split_words, written
 from segmentry.operators.graph import connected_components
 
 BANDS = 32
@@ -123,8 +123,8 @@ def _may_link(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """The pairs that are linked, by their full sets; texts travel, as they are smaller than sets of hashes."""
-    wanted = pairs.select(F.explode(F.array("a_id", "b_id")).alias("doc_id")).distinct()
-    held = texts.join(wanted, "doc_id", "left_semi")
+    wanted = written(pairs.select(F.explode(F.array("a_id", "b_id")).alias("doc_id")).distinct())
+    held = written(texts.join(small_side(wanted), "doc_id", "left_semi"))
     for side in ("a", "b"):
         pairs = pairs.join(held.select(F.col("doc_id").alias(f"{side}_id"), F.col("text").alias(f"{side}_text")), f"{side}_id")
 
@@ -201,9 +201,11 @@ def _crossing_pairs(banded: DataFrame, label: DataFrame, reps: DataFrame) -> Dat
 
 def keep_one(docs: DataFrame, spaced=letter_spaced, size: int = 5, text: str = "text") -> DataFrame:
     """``docs`` with one document of each group: all rows of kept ids, but only one where an id repeats."""
-    kept = written(near_groups(docs, spaced, size, text).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    repeated = kept.filter("doc_id is not null and n > 1").select("doc_id")
-    once = docs.filter("doc_id is null").unionByName(docs.join(kept.filter("n = 1").select("doc_id"), "doc_id", "left_semi"))
+    marks = near_groups(docs, spaced, size, text).filter("doc_id is not null")
+    marks = written(marks.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("not kept or n > 1"))
+    # The ids to leave are fewer than those to keep, so the texts need no shuffle as long as they can be broadcast.
+    once = docs.join(small_side(marks.select("doc_id")), "doc_id", "left_anti")
+    repeated = marks.filter("kept").select("doc_id")
     if repeated.isEmpty():
         return once
-    return once.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return once.unionByName(docs.join(small_side(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
