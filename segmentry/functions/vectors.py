@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,10 +45,15 @@ def drop_last(v: Column) -> Column:
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Rows of an Arrow list column as a 2-D float64 array."""
+    """Rows of an Arrow list column as a 2-D float64 array. Null rows and rows of unequal length are an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
+    if column.null_count:
+        raise ValueError(f"{column.null_count} of {rows} vectors are null")
+    widths = pc.min_max(pc.list_value_length(column)).as_py()
+    if widths["min"] != widths["max"]:
+        raise ValueError(f"vectors have between {widths['min']} and {widths['max']} components")
     flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
     return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
 

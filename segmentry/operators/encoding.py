@@ -66,8 +66,12 @@ def apply_scaler(df: DataFrame, columns: Sequence[str], facts: DataFrame) -> Dat
     return joined.withColumns(scaled).drop(*[f"__p_{c}" for c in columns])
 
 
+def _quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
 def _labels_sql(column: str) -> str:
-    parts = rf"transform(split(coalesce({column}, ''), ';'), x -> regexp_replace(x, '^\\s+|\\s+$', ''))"
+    parts = rf"transform(split(coalesce({_quoted(column)}, ''), ';'), x -> regexp_replace(x, '^\\s+|\\s+$', ''))"
     return f"array_sort(array_distinct(filter({parts}, x -> x <> '')))"
 
 
@@ -83,8 +87,8 @@ def fit_encoder(
         raise ValueError("column names must not start with two underscores")
     facts = {r["column"]: (r["centre"], r["scale"]) for r in scaler(df, numeric, kind).collect()} if numeric else {}
     # Literals keep the exact doubles (17 digits) inside the saved statement.
-    scaled = [f"(CAST({c} AS DOUBLE) - {facts[c][0]!r}D) / {facts[c][1]!r}D AS __n_{c}" for c in numeric]
-    arrays = [f"array_compact(array(CAST({c} AS STRING))) AS __i_{c}" for c in nominal] + [f"{_labels_sql(c)} AS __i_{c}" for c in labels]
+    scaled = [f"(CAST({_quoted(c)} AS DOUBLE) - {facts[c][0]!r}D) / {facts[c][1]!r}D AS {_quoted(f'__n_{c}')}" for c in numeric]
+    arrays = [f"array_compact(array(CAST({_quoted(c)} AS STRING))) AS {_quoted(f'__i_{c}')}" for c in nominal] + [f"{_labels_sql(c)} AS {_quoted(f'__i_{c}')}" for c in labels]
     stages = [SQLTransformer(statement="SELECT *, " + ", ".join(scaled + arrays) + " FROM __THIS__")]
     blocks = {c: F.array_compact(F.array(F.col(c).cast("string"))) for c in nominal} | {c: split_labels(F.col(c)) for c in labels}
     words = dictionary(df, blocks)
@@ -97,7 +101,7 @@ def fit_encoder(
         stages.append(CountVectorizerModel.from_vocabulary(vocabulary[c], inputCol=f"__i_{c}", outputCol=f"__v_{c}").setBinary(True))
     order = [f"__n_{c}" for c in numeric] + [f"__v_{c}" for c in blocks if c in vocabulary]
     stages.append(VectorAssembler(inputCols=order, outputCol=output))
-    drop = ", ".join([f"__n_{c}" for c in numeric] + [f"__i_{c}" for c in blocks] + [f"__v_{c}" for c in vocabulary])
+    drop = ", ".join(_quoted(c) for c in [f"__n_{c}" for c in numeric] + [f"__i_{c}" for c in blocks] + [f"__v_{c}" for c in vocabulary])
     stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({drop}) FROM __THIS__"))
     rows = [(i, "numeric", c) for i, c in enumerate(numeric)]
     rows += [(len(numeric) + i, b, w) for i, (b, w) in enumerate((b, w) for b in blocks for w in vocabulary.get(b, []))]

@@ -466,23 +466,27 @@ _SURVEY_CLEAN = f"""WITH {fx.V_SURVEY}, s0 AS (SELECT * REPLACE (trim("Check") A
   s3 AS (SELECT *, CASE WHEN c0 <> 'Missing' AND count(*) OVER (PARTITION BY c0) < 200 THEN 'Other' ELSE c0 END AS c1 FROM s2)"""
 
 
+def _said(decision):
+    return ", ".join(f"'{text}' AS {name}" for name, text in zip(("issue", "action", "rationale"), clean.DECISIONS[decision]))
+
+
 @query("e3_decision_log", f"""{_SURVEY_CLEAN}
   SELECT * FROM (
-  SELECT c AS "column", 'whitespace/type consistency' AS issue, 'strip text and map empty strings to missing' AS action, n AS affected_rows FROM (
+  SELECT c AS "column", {_said('text')}, n AS affected_rows FROM (
     SELECT 'Check' AS c, count(*) FILTER ("Check" <> trim("Check")) AS n FROM v_survey UNION ALL SELECT 'YearsCode', count(*) FILTER (YearsCode <> trim(YearsCode)) FROM v_survey
     UNION ALL SELECT 'YearsCodePro', count(*) FILTER (YearsCodePro <> trim(YearsCodePro)) FROM v_survey
     UNION ALL SELECT unnest(['WorkExp', 'OrgSize', 'Employment', 'RemoteWork', 'Country', 'DevType', 'EdLevel', 'AISelect', 'LanguageHaveWorkedWith', 'DatabaseHaveWorkedWith', 'ToolsTechHaveWorkedWith']), 0)
-  UNION ALL SELECT 'row_id', 'duplicate respondents', 'keep first occurrence', 0
-  UNION ALL SELECT 'Check', 'failed attention check', 'exclude explicit failures; retain missing checks', count(*) FROM s0 WHERE lower("Check") <> 'apples'
-  UNION ALL SELECT 'Country', 'rare categories', 'group rare countries as Other', count(*) FROM s3 WHERE c1 <> c0
-  UNION ALL SELECT 'YearsCode', 'numeric values stored as strings and boundary labels', 'parse to a number', count(*) FROM s3 WHERE YearsCode IS NOT NULL AND y1 IS NULL
-  UNION ALL SELECT 'YearsCodePro', 'numeric values stored as strings and boundary labels', 'parse to a number', count(*) FROM s3 WHERE YearsCodePro IS NOT NULL AND y2 IS NULL
-  UNION ALL SELECT 'YearsCodeNumeric', 'missing experience', 'country-median imputation with global median fallback', count(*) FROM s3 WHERE y1 IS NULL
-  UNION ALL SELECT 'YearsCodeProNumeric', 'missing experience', 'country-median imputation with global median fallback', count(*) FROM s3 WHERE y2 IS NULL
-  UNION ALL SELECT 'WorkExpNumeric', 'missing experience', 'country-median imputation with global median fallback', count(*) FROM s3 WHERE y3 IS NULL
-  UNION ALL SELECT 'OrgSize', 'ordinal ranges and missing/unknown values', 'map ranges to midpoints, median-impute, log1p', count(*) FROM s3 WHERE OrgSize IS NULL
-  UNION ALL SELECT 'technology', 'no response in any domain', 'exclude rows with all domains missing', count(*) FROM s3 WHERE LanguageHaveWorkedWith IS NULL AND DatabaseHaveWorkedWith IS NULL AND ToolsTechHaveWorkedWith IS NULL
-  UNION ALL SELECT 'ConvertedCompYearly', 'non-positive target', 'set to missing', count(*) FROM s3 WHERE ConvertedCompYearly <= 0 AND LanguageHaveWorkedWith IS NOT NULL)""")
+  UNION ALL SELECT 'row_id', {_said('repeat')}, 0
+  UNION ALL SELECT 'Check', {_said('check')}, count(*) FROM s0 WHERE lower("Check") <> 'apples'
+  UNION ALL SELECT 'Country', {_said('rare')}, count(*) FROM s3 WHERE c1 <> c0
+  UNION ALL SELECT 'YearsCode', {_said('number')}, count(*) FROM s3 WHERE YearsCode IS NOT NULL AND y1 IS NULL
+  UNION ALL SELECT 'YearsCodePro', {_said('number')}, count(*) FROM s3 WHERE YearsCodePro IS NOT NULL AND y2 IS NULL
+  UNION ALL SELECT 'YearsCodeNumeric', {_said('gap')}, count(*) FROM s3 WHERE y1 IS NULL
+  UNION ALL SELECT 'YearsCodeProNumeric', {_said('gap')}, count(*) FROM s3 WHERE y2 IS NULL
+  UNION ALL SELECT 'WorkExpNumeric', {_said('gap')}, count(*) FROM s3 WHERE y3 IS NULL
+  UNION ALL SELECT 'OrgSize', {_said('range')}, count(*) FROM s3 WHERE OrgSize IS NULL
+  UNION ALL SELECT 'technology', {_said('silent')}, count(*) FROM s3 WHERE LanguageHaveWorkedWith IS NULL AND DatabaseHaveWorkedWith IS NULL AND ToolsTechHaveWorkedWith IS NULL
+  UNION ALL SELECT 'ConvertedCompYearly', {_said('target')}, count(*) FROM s3 WHERE ConvertedCompYearly <= 0 AND LanguageHaveWorkedWith IS NOT NULL)""")
 def e3(spark, d):
     return clean.clean_cohort(_raw_layer(spark, d), SPEC)[1]
 

@@ -25,9 +25,12 @@ def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return df
 
 
-def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Delimited scan with a declared schema and a pruned column list; files are split, never chunked by hand."""
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
+def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | str, columns: Sequence[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """Delimited scan with a declared schema and a pruned column list.
+
+    Files are split among tasks. Quoted line breaks inside a field need ``multi_line``, which reads each file in one task.
+    """
+    df = spark.read.schema(schema).csv(path, header=True, multiLine=multi_line, escape='"', enforceSchema=False)
     return require_columns(df, columns).select(*columns) if columns else df
 
 
