@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from segmentry.llm.common import written
 
-CELLS = 32
+CELLS = 128
 ROW_BLOCK = 2048
 QUERY_BLOCK = 1024
 # Exact vectors that are read for a query before the rest is judged by their k-th score, as a multiple of k.
