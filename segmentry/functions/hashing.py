@@ -26,6 +26,15 @@ def uniform(seed: int, purpose: str, *parts: Column | int | str) -> Column:
     return key_to_uniform(draw_key(seed, purpose, *parts))
 
 
+def among_lowest(key: Column, n: int, rows: int) -> Column:
+    """Whether a draw key can be among the ``n`` lowest of ``rows`` keys.
+
+    The threshold lets about ``n + 12 sqrt(n) + 100`` keys pass; fewer than ``n`` of them have a chance below 1e-30.
+    """
+    share = (n + 12 * n**0.5 + 100) / max(rows, 1)
+    return F.lit(True) if share >= 1 else key < F.lit(format(int(share * 16**HEX_DIGITS), f"0{HEX_DIGITS}x"))
+
+
 def sign(seed: int, purpose: str, *parts: Column | int | str) -> Column:
     """+1.0 or -1.0 with equal chance."""
     return F.when(uniform(seed, purpose, *parts) < 0.5, F.lit(1.0)).otherwise(F.lit(-1.0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from segmentry.functions import text as txt
 from segmentry.operators.order import exact_quantiles, rank_table, unpivot
+from segmentry.session import small_side
 
 MISSING = "Missing"
 
@@ -107,7 +108,7 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     complete = df.select(*columns).dropna()
     ranked = complete
     for c in columns:
-        ranked = ranked.join(rank_table(complete, c, name=f"__rank_{c}"), c)
+        ranked = ranked.join(small_side(rank_table(complete, c, name=f"__rank_{c}")), c)
     pairs = list(combinations(columns, 2))
     row = ranked.agg(*[F.corr(f"__rank_{a}", f"__rank_{b}").alias(f"__{i}") for i, (a, b) in enumerate(pairs)])
     cells = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"__{i}").alias("spearman")) for i, (a, b) in enumerate(pairs)]

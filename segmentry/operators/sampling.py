@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmentry.functions.hashing import draw_key, uniform
+from segmentry.functions.hashing import among_lowest, draw_key, uniform
 from segmentry.operators.order import exact_quantiles, positions, running_counts
 
 
@@ -52,6 +52,7 @@ def nested_bootstrap(df: DataFrame, key: str, base: int, fraction: float, repeat
     keyed = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     window = Window.partitionBy("repeat").orderBy("__draw")
     ranked = keyed.withColumn("__draw", draw_key(seed, "nested-base", F.col("repeat"), F.col(key)))
+    ranked = ranked.filter(among_lowest(F.col("__draw"), base, df.count()))
     kept = ranked.withColumn("__rank", F.row_number().over(window)).filter(F.col("__rank") <= base)
     kept = kept.withColumn("position", F.col("__rank") - 1)
     sizes = kept.groupBy("repeat").agg(F.count(F.lit(1)).alias("__n"))

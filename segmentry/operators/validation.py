@@ -14,7 +14,7 @@ from segmentry.functions.hashing import sign
 from segmentry.operators.moments import centroids, centroids_long, dimension_moments
 from segmentry.operators.order import unpivot
 from segmentry.operators.pairs import cluster_distance_sums, separation
-from segmentry.session import cut_lineage
+from segmentry.session import cut_lineage, small_side
 
 # Largest set of centres that is shipped to every task.
 MODEL_BYTES = 64 << 20
@@ -31,7 +31,7 @@ def silhouette_points(df: DataFrame, candidates: Sequence[str] = ("cluster",), m
     labels = unpivot(df, names, ["row_id"], "bigint").select("row_id", index.cast("int").alias("candidate"), F.col("value").alias("cluster"))
     labels = labels.filter(F.col("cluster") >= 0)
     sizes = labels.groupBy("candidate", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    joined = sums.join(labels, ["row_id", "candidate"]).join(sizes.withColumnRenamed("cluster", "other"), ["candidate", "other"])
+    joined = sums.join(labels, ["row_id", "candidate"]).join(small_side(sizes.withColumnRenamed("cluster", "other")), ["candidate", "other"])
     own = F.col("other") == F.col("cluster")
     points = joined.groupBy("row_id", "candidate", "cluster").agg(
         F.max(F.when(own, F.try_divide("total", F.col("n") - 1))).alias("a"), F.max(F.when(own, F.col("n"))).alias("n"),

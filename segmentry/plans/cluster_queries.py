@@ -128,7 +128,15 @@ def l2(spark, d):
     return tendency.repeat_summary(repeats, "hopkins").withColumns({c: num6(F.col(c)) for c in ("mean", "std", "min", "max")})
 
 
-@query("l3_spanning_tree")
+# The tree grows from the first row: ``best`` holds each row's distance to the tree, infinite once it is inside.
+_PRIM = f"""WITH RECURSIVE {PAIRS}, ids AS MATERIALIZED (SELECT row_id, row_number() OVER (ORDER BY row_id) AS i FROM v_vec),
+  m AS MATERIALIZED (SELECT x.i AS i, list(coalesce(p.d, 'inf'::DOUBLE)::DOUBLE ORDER BY y.i) AS l FROM ids x CROSS JOIN ids y LEFT JOIN p ON p.a = x.row_id AND p.b = y.row_id GROUP BY 1),
+  grown(step, best, inside, total) AS (SELECT 1, l, [i], 0.0::DOUBLE FROM m WHERE i = 1 UNION ALL
+    SELECT step + 1, list_transform(g.best, lambda x, j: CASE WHEN j = m.i OR list_contains(g.inside, j) THEN 'inf'::DOUBLE ELSE least(x, m.l[j]) END), list_append(g.inside, m.i), total + list_min(g.best)
+    FROM grown g JOIN m ON m.i = list_position(g.best, list_min(g.best)) WHERE step < len(g.best))"""
+
+
+@query("l3_spanning_tree", f"{_PRIM} SELECT max(step)::BIGINT - 1 AS edges, {r('max(total)')} AS total_weight FROM grown")
 def l3(spark, d):
     tree = tendency.distance_tree(fx.v_vec(spark, d))
     return tree.agg(F.count("*").alias("edges"), num6(F.sum("weight")).alias("total_weight"))
@@ -669,7 +677,7 @@ def p4(spark, d):
         "lowest_price": (F.min("o_totalprice"), seen >= 0), "statuses": (F.count_distinct(F.col("o_orderstatus")), seen == 3)}))
 
 
-@query("p5_registry_record")
+@query("p5_registry_record", f"WITH {fx.V_VEC} SELECT 'centroids' AS model, count(*) AS rows, bit_xor(h) AS hash_xor FROM (SELECT ('0x' || substr(sha256(row_id::VARCHAR || '|' || cluster::VARCHAR), 1, 15))::BIGINT AS h FROM v_vec)")
 def p5(spark, d):
     rows = labelled(spark, d)
     facts = src.fingerprint(rows.select("row_id", "cluster"))

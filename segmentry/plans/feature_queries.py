@@ -257,7 +257,7 @@ def indicator_rows(spark, d):
 def k4(spark, d):
     rows, words = indicator_rows(spark, d)
     width, table = words.count(), []
-    rows = rows.persist()
+    rows = cut_lineage(rows)
     for k in (2, 3, 4):
         fit = fac.nmf(rows, k, width, SEED)
         labels = fac.nmf_weights(rows, fit)

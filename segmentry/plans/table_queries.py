@@ -373,10 +373,11 @@ def c17(spark, d):
     return rows.select("row_id", F.array_join(F.array_sort(both), ";").alias("shared"), num6(num.share(F.size(both), F.size(either))).alias("jaccard"))
 
 
-@query("c18_utc_stamp")
+@query("c18_utc_stamp", "SELECT count(*) AS rows, true AS is_utc_stamp FROM orders")
 def c18(spark, d):
     rows = src.table(spark, d, "orders").count()
-    return src.manifest(spark, {"rows": rows})
+    stamp = F.col("created_at_utc")
+    return src.manifest(spark, {"rows": rows}).select(F.col("rows").cast("bigint").alias("rows"), stamp.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$").alias("is_utc_stamp"))
 
 
 @query("c19_safe_casts", f"WITH {fx.V_EXPERIENCE} SELECT row_id, TRY_CAST(years_text AS INT) AS as_int, row_id::VARCHAR AS as_text, row_id::DOUBLE AS as_double FROM v_experience")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -33,6 +34,15 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
 
 
+def small_side(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows; beyond that a plain join side, whose skew adaptive execution splits.
+
+    The rows are written first, so that the count does not compute them twice.
+    """
+    held = cut_lineage(df)
+    return F.broadcast(held) if held.limit(limit + 1).count() <= limit else held
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table next to the checkpoints and continue from the files.
 
