@@ -1,7 +1,7 @@
 """Main text of web pages by paths that the pages of a host agree on.
 
 A page is read into blocks of text, each with the containers it stands in. Containers are scored by the text of their
-blocks less what is linked. The generalised path of a container (tags and classes from the body down, digits replaced)
+blocks less what is linked; what stands inside an article or a main element counts for the whole of it. The generalised path of a container (tags and classes from the body down, digits replaced)
 collects its score on all pages of its host in Spark, so pages on which the article is short or a box is long are
 outvoted. Each page is then read again and gives the blocks of the highest-ranked path of its host that it has; a page
 that has none of them gives those of its own best container.
@@ -42,6 +42,7 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _LEFT_TAGS = frozenset("nav footer aside form button head dialog menu object audio video canvas fieldset datalist".split())
 _CONTAINERS = frozenset("body main article section div td center".split())
 _KEPT_TAGS = frozenset("html body main article".split())
+_ARTICLE = re.compile(r"""\brole\s*=\s*["']?(article|main)\b|\bitemprop\s*=\s*["']?(article)Body\b""", re.I)
 _HEADINGS = frozenset("h1 h2 h3".split())
 _LEFT_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 # Words that mark a class or id as not belonging to the article.
@@ -70,6 +71,7 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
     paths: list[str] = field(default_factory=list)
     parents: list[int] = field(default_factory=list)
+    kinds: list[str] = field(default_factory=list)  # "article", "main" or empty
 
 
 def _left(tag: str, attributes: str) -> tuple[bool, str]:
@@ -89,7 +91,7 @@ def _left(tag: str, attributes: str) -> tuple[bool, str]:
 
 
 def read_page(source: str) -> Page:
-    page = Page([], ["body"], [-1])
+    page = Page([], ["body"], [-1], [""])
     stack: list[tuple[str, bool, bool, int]] = []  # tag, left, header of an article, container
     left = heads = 0
     container, pieces, linked, in_link = 0, [], 0, 0
@@ -171,6 +173,8 @@ def read_page(source: str) -> Page:
             name = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes.split()})])
             page.paths.append(f"{page.paths[container]}>{name}")
             page.parents.append(container)
+            named = _ARTICLE.search(attributes) if attributes else None
+            page.kinds.append(tag if tag in ("article", "main") else (named[1] or named[2]).lower() if named else "")
             container = len(page.paths) - 1
         stack.append((tag, out, head, before))
         left += out
@@ -184,26 +188,57 @@ def read_page(source: str) -> Page:
 def container_scores(page: Page) -> dict[int, float]:
     """Score of each container: its own blocks count whole, those of containers inside by a half, a third and so on.
 
-    A container is taken for its parent as long as the parent adds nothing but headings, so that titles are included.
+    What is inside an article, or else a main element, is taken for the outermost of them, which counts all of its blocks
+    whole. A container is taken for its parent as long as the parent adds nothing but headings, so that titles are
+    included, or, outside such elements, more text of its own than it adds from other containers.
     """
     scores: dict[int, float] = {}
+    whole: dict[int, float] = {}
+    size: dict[int, int] = {}  # all text of a container, and what stands in it directly
+    direct: dict[int, int] = {}
+    own: dict[int, float] = {}  # direct text without links and headings
+    holds: set[int] = set()  # containers with an article or main element inside
+    holds_article: set[int] = set()
     for b in page.blocks:
         worth = max(0.0, len(b.text) - 2.0 * b.linked)
+        inside = article = False
         for depth, c in enumerate(b.containers):
             scores[c] = scores.get(c, 0.0) + worth / (depth + 1)
+            whole[c] = whole.get(c, 0.0) + worth
+            size[c] = size.get(c, 0) + len(b.text)
+            if inside:
+                holds.add(c)
+            if article:
+                holds_article.add(c)
+            inside = inside or page.kinds[c] != ""
+            article = article or page.kinds[c] == "article"
+        direct[b.containers[0]] = direct.get(b.containers[0], 0) + len(b.text)
+        if not b.heading:
+            own[b.containers[0]] = own.get(b.containers[0], 0.0) + worth
     adds: dict[int, set] = {c: set() for c in scores}  # children with more than headings, and -1 for own text
-    titles: dict[int, bool] = {}
     for b in page.blocks:
         for inner, c in zip((-1, *b.containers), b.containers):
-            if b.heading and inner == -1:
-                titles[c] = True
-            else:
+            if not (b.heading and inner == -1):
                 adds[c].add(inner)
+    # The outermost article and main element around each container; a parent's number is below its children's.
+    around: dict[str, list[int]] = {"article": [], "main": []}
+    for kind, outermost in around.items():
+        for c, up in enumerate(page.parents):
+            above = outermost[up] if up >= 0 else -1
+            outermost.append(above if above >= 0 else c if page.kinds[c] == kind else -1)
     risen: dict[int, float] = {}
     for c, s in scores.items():
-        top = c
-        up = page.parents[c]
-        while up > 0 and adds[up] == {top}:
+        article, main = around["article"][c], around["main"][c]
+        top = article if article >= 0 else main if main >= 0 else c
+        if top == c and page.kinds[c] and (page.kinds[c] == "article" or c not in holds_article):
+            s = whole[c]
+        unmarked = article < 0 and main < 0 and c not in holds
+        up = page.parents[top]
+        while up >= 0:
+            titles = up > 0 and adds[up] == {top}
+            within = unmarked and up not in holds and page.kinds[up] == "" or around["main"][up] >= 0
+            if not titles and not (within and own.get(up, 0.0) > size[up] - direct.get(up, 0) - size[top]):
+                break
             top = up
             up = page.parents[up]
         risen[top] = max(risen.get(top, 0.0), s)

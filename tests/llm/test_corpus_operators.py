@@ -329,6 +329,29 @@ def test_html_odd_pages(spark):
     assert len(text[5]) == 330_000 - 1 and html.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("inner", [
+    "<div class=intro><p>{a}</p></div><div class=story><p>{b}</p></div>",  # uneven containers in an article
+    "<p>{a}</p><div class=story><p>{b}</p></div>",  # paragraphs beside a large container
+    "<div><div class=intro><p>{a}</p></div></div><section><div class=story><p>{b}</p></div></section>",
+])
+@pytest.mark.parametrize("outer", ["<article>{0}</article>", "<main>{0}</main>", "<main><article>{0}</article><div class=box><p>box</p></div></main>", "<div role='article'>{0}</div>"])
+def test_html_keeps_all_of_an_article(spark, inner, outer):
+    rng = random.Random(12)
+    words = [(prose(rng, 10), prose(rng, 160)) for _ in range(4)]
+    pages = [(i, "http://h.org/x", "<body>" + outer.format(inner.format(a=a, b=b)) + "<div class=box><p>other text</p></div></body>") for i, (a, b) in enumerate(words)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"{a}\n{b}" for i, (a, b) in enumerate(words)}
+
+
+def test_html_direct_paragraphs_without_an_article_element():
+    best = lambda source: html.page_text(source, [])
+    a, b = "first " * 20, "second " * 100
+    assert best(f"<div class=content><p>{a}</p><div class=story><p>{b}</p></div></div><div class=box>box</div>") == f"{a.strip()}\n{b.strip()}"
+    assert best(f"<div class=wrap>(c)<div class=story><p>{b}</p></div><div class=box><p>{a}</p></div></div>") == b.strip()
+    sections = "".join(f"<div><p>{a}</p></div>" for _ in range(10))
+    assert best(f"<article>{sections}</article><div><p>{b}</p></div>").count("first") == 200
+
+
 # ---- licenses --------------------------------------------------------------------------------------------------
 
 def test_licenses_are_found_anywhere(spark, odd, empty):
