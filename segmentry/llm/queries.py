@@ -50,7 +50,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+    return licenses.find_licenses(table(spark, sf_dir, "documents"), licenses.shipped_templates())
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from segmentry.llm import html, language, leaks, licenses, lines, mixing, neardup, quality, search, secret_scan
+from segmentry.llm import html, language, leaks, licenses, lines, mixing, neardup, quality, queries, search, secret_scan
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 VOWELS, CONSONANTS = "aeiou", "bcdfgklmnprst"
@@ -430,3 +430,21 @@ def test_quality_on_held_out_texts(spark, odd, empty):
 def test_passages_cover_the_whole_text():
     x, owner = quality.passages(["a" * 1300, "", None, "b"])
     assert owner.tolist() == [0, 0, 0, 1, 2, 3] and x.shape[1] == quality.FEATURES and np.isfinite(x).all()
+
+
+def test_shipped_licenses_are_told_apart(spark, tmp_path):
+    rng = random.Random(13)
+    full = {f.stem: f.read_text() for f in licenses.TEXTS.glob("*.txt")}
+    notices = [line.split("\t") for line in (licenses.TEXTS / "notices.tsv").read_text().splitlines()]
+    texts = [*full.items(), *notices]
+    rows = [(i, prose(rng, 7 * (i % 9)) + "\n" + t + "\n" + prose(rng, 30), None, None) for i, (_, t) in enumerate(texts)]
+    two = len(rows)
+    rows.append((two, "\n".join([full["BSD-2-Clause"], prose(rng, 50), notices[0][1], prose(rng, 20), licenses.TEMPLATES[6][1]]), None, None))
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = collections.defaultdict(set)
+    for r in queries.op9_licenses(spark, str(tmp_path)).collect():
+        found[r["doc_id"]].add(r["license"])
+    family = {"BSD-2-Clause": {"BSD"}, "BSD-3-Clause": {"BSD"}}
+    wrong = {(name, i): found[i] for i, (name, t) in enumerate(texts) if found[i] != {name} | (family.get(name, set()) if t == full.get(name) else set())}
+    assert wrong == {}
+    assert found[two] == {"BSD", "BSD-2-Clause", "GPL-2.0", "GPL-3.0"}
