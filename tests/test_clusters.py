@@ -305,3 +305,20 @@ def test_agglomeration_that_does_not_finish_is_an_error(spark):
     apart = spark.createDataFrame([(i, j, float(2**j - 2**i)) for i in range(6) for j in range(i + 1, 6)], "a long, b long, d double")
     with pytest.raises(RuntimeError):
         hierarchy.agglomerate(items, apart, "single", max_rounds=1)
+
+
+def test_linear_fits_of_phase_two_read_all_rows(spark, monkeypatch):
+    from segmentry.plans import job_queries, jobs
+
+    x = np.concatenate([np.random.default_rng(3).normal(c, 0.3, size=(40, 2)) for c in (0, 4, 8)])
+    seen = {}
+    for module, name in ((kmeans, "kmeans"), (mixture, "fit_mixtures"), (stability, "gap_statistic")):
+        def spy(df, *rest, _run=getattr(module, name), _name=name, **more):
+            seen.setdefault(_name, set()).add(df.count())
+            return _run(df, *rest, **more)
+        monkeypatch.setattr(module, name, spy)
+    few = {"seed": 1, "ks": (2, 3), "family_ks": (3,), "n_init": 1, "gap_references": 1, "evaluation_rows": 60, "family_rows": 60, "gap_rows": 60, "neighbours": 5, "mixture_iterations": 5, "micro": 8}
+    tables = jobs.phase_two(frame(spark, x), job_queries.LIGHT | few)
+    assert seen == {"kmeans": {120}, "fit_mixtures": {120}, "gap_statistic": {120}} and tables["sample"].count() == 60
+    names = {r["configuration"] for r in tables["family_scores"].collect()}
+    assert {f"agglomerative_{linkage}_k3" for linkage in hierarchy.LINKAGES} | {f"gmm_{kind}_k3" for kind in mixture.COVARIANCES} <= names
