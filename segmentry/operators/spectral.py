@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -21,12 +22,13 @@ def neighbour_graph(df: DataFrame, neighbours: int = 20) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def spectral_embedding(graph: DataFrame, k: int, seed: int, rounds: int = 8, steps: int = 4, guard: int = 3) -> DataFrame:
+def spectral_embedding(graph: DataFrame, k: int, seed: int, rounds: int = 8, steps: int = 4, guard: int = 3, tolerance: float = 1e-3) -> DataFrame:
     """``row_id, v``: the k leading eigenvectors of the normalised adjacency, divided by the root degree.
 
     A step is a join of edges with the current vectors and a sum per source; after ``steps`` of them the block is
     orthonormalised through its Gram matrix. The operator is shifted to (I + A) / 2, so every eigenvalue is positive.
     ``guard`` further columns take part, because the leading ones then settle faster, and are dropped at the end.
+    A warning names the largest residual of the k columns, against the span they make, if it is above ``tolerance``.
     """
     degree = graph.groupBy("src").agg(F.sum("w").alias("d"))
     left = degree.select("src", F.col("d").alias("ds"))
@@ -45,6 +47,13 @@ def spectral_embedding(graph: DataFrame, k: int, seed: int, rounds: int = 8, ste
             block = block.join(heard, "row_id", "left").select(
                 "row_id", *[((F.col(u) + F.coalesce(f"__{u}", F.lit(0.0))) / 2).alias(u) for u in names])
         block = _orthonormal(cut_lineage(block), names)
+    lead = names[:k]
+    heard = edges.join(block.withColumnRenamed("row_id", "dst"), "dst").groupBy(F.col("src").alias("row_id")).agg(*[F.sum(F.col("w") * F.col(u)).alias(f"__{u}") for u in lead])
+    cells = [(i, j) for i in range(k) for j in range(k)]
+    row = block.join(heard, "row_id").agg(*[F.sum(F.col(f"__{u}") * F.col(f"__{u}")).alias(f"n_{u}") for u in lead], *[F.sum(F.col(names[i]) * F.col(f"__{names[j]}")).alias(f"g{i}_{j}") for i, j in cells]).first()
+    residual = max(max(row[f"n_{names[j]}"] - sum(row[f"g{i}_{j}"] ** 2 for i in range(k)), 0.0) ** 0.5 for j in range(k))
+    if residual > tolerance:
+        warnings.warn(f"spectral embedding not converged: residual {residual:.1e} after {rounds * steps} steps", RuntimeWarning, stacklevel=2)
     scaled = block.join(degree.withColumnRenamed("src", "row_id"), "row_id")
     return scaled.select("row_id", F.array(*[F.col(u) / F.sqrt("d") for u in names[:k]]).alias("v"))
 

@@ -322,3 +322,9 @@ def test_linear_fits_of_phase_two_read_all_rows(spark, monkeypatch):
     assert seen == {"kmeans": {120}, "fit_mixtures": {120}, "gap_statistic": {120}} and tables["sample"].count() == 60
     names = {r["configuration"] for r in tables["family_scores"].collect()}
     assert {f"agglomerative_{linkage}_k3" for linkage in hierarchy.LINKAGES} | {f"gmm_{kind}_k3" for kind in mixture.COVARIANCES} <= names
+
+
+def test_unconverged_spectral_embedding_warns(spark):
+    graph = spark.createDataFrame([(i, (i + d) % 120, 1.0) for i in range(120) for d in (-1, 0, 1)], "src bigint, dst bigint, w double")
+    with pytest.warns(RuntimeWarning, match="not converged"):
+        spectral.spectral_embedding(graph, 3, 1, rounds=1, steps=1)
