@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from segmentry.llm import html, language, leaks, licenses, lines, mixing, neardup, quality, search, secret_scan
+from segmentry.llm import html, language, leaks, licenses, lines, merkle, mixing, neardup, quality, search, secret_scan
 from segmentry.llm.common import table
 
 
@@ -57,8 +57,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.prove(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_language, op3_exact_top_k, op4_html_text, op5_quality, op6_mixing, op7_line_dedup, op8_secrets, op9_licenses, op10_near_duplicates)}
+    op1_decontamination, op2_language, op3_exact_top_k, op4_html_text, op5_quality, op6_mixing, op7_line_dedup, op8_secrets, op9_licenses, op10_near_duplicates,
+    op11_merkle_manifest)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _LETTER_WORDS = r"string_split(nullif(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ''), ' ')"
@@ -71,6 +76,26 @@ def _places(size: int) -> str:
             " when len(ws) > 0 then [{'p': 0::BIGINT, 's': array_to_string(ws, ' ')}] else [] end")
 
 
+def _levels(source: str) -> str:
+    """Recursive part: nodes (tree, level, pos, d, n) above the leaves of ``source``, where ``n`` counts the nodes of the level."""
+    return (f"select tree, 0 as level, pos, d, n from {source} union all"
+            " select tree, level + 1, pos // 2, sha256(string_agg(d, '' order by pos)), (n + 1) // 2 from {name} where n > 1 group by tree, level, pos // 2, n")
+
+
+def _path(leaves: str, nodes: str, lift: int) -> str:
+    """The siblings of each leaf from the bottom up; the digest is empty where there is none."""
+    return (f"select l.tree, l.pos, c.level + {lift} as level, coalesce(s.pos < c.pos, false) as before, coalesce(s.d, '') as d from {leaves} l"
+            f" join {nodes} c on c.tree = l.tree and c.pos = l.pos >> c.level and c.n > 1 left join {nodes} s on s.tree = c.tree and s.level = c.level and s.pos = xor(c.pos, 1)")
+
+
+def _encoded(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_encoded(v) for v in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
 ORACLES = {
     "op1_decontamination": f"""
 with items as (select min(item_id) as item_id, ws from (select item_id, {_LETTER_WORDS} as ws from benchmark where item_id is not null) where ws is not null group by ws),
@@ -128,5 +153,22 @@ common as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh
 links as (select x, y from common join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)),
 reach as (select doc_id, doc_id as seen from documents union select r.doc_id, l.y from reach r join links l on l.x = r.seen)
 select doc_id, coalesce(max(n.n), 0)::BIGINT as n_shingles, min(seen) as component_id, doc_id = min(seen) as kept from reach left join n using (doc_id) group by doc_id
+""",
+    "op11_merkle_manifest": f"""
+with recursive crc as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as tab),
+h as (select doc_id, coalesce('=' || lang, '') as tree, {_leaf("n_chars")} as d, {_leaf("n_chars + 1")} as changed,
+ xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 7 = 0 as hit
+ from documents, crc),
+leaves as (select *, row_number() over (partition by tree order by doc_id nulls first, d) - 1 as pos, count(*) over (partition by tree) as n from h),
+nodes as ({_levels("leaves").format(name="nodes")}),
+tops as (select tree as name, '' as tree, d, row_number() over (order by tree) - 1 as pos, count(*) over () as n from nodes where n = 1),
+above as ({_levels("tops").format(name="above")}),
+steps as (select tree, pos, level, before, d from ({_path("leaves", "nodes", 0)})
+ union all select l.tree, l.pos, a.level, a.before, a.d from leaves l join tops t on t.name = l.tree join ({_path("tops", "above", 1000)}) a on a.pos = t.pos),
+paths as (select tree, pos, list({{'before': before, 'd': d}} order by level) as path from steps group by all),
+full_ as (select l.*, coalesce(path, []) as path, t.subroot, (select d from above where n = 1) as root from leaves l join (select name, d as subroot from tops) t on t.name = l.tree left join paths using (tree, pos)),
+f as (select *, list_reduce(list_prepend({{'before': false, 'd': case when hit then changed else d end}}, path),
+ lambda a, s: {{'before': false, 'd': sha256(case when s.before then s.d || a.d else a.d || s.d end)}}).d as folded_root from full_)
+select doc_id, d as leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.d), '')) as proof_sha256, folded_root, folded_root = root as verified from f
 """,
 }
