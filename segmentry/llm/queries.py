@@ -1,7 +1,7 @@
 """Registered queries of this folder and the SQL that checks them, where SQL can express them.
 
 No SQL: op2 and op5 (trained classifiers: held-out accuracy), op4 (reading HTML), op6 (search for an exponent and
-hash order), op9 (windows by stride) and the pipeline. ``tests/llm`` compares these with plain versions.
+hash order), op9 (windows by stride), op13 (a 64-bit hash that SQL lacks) and the pipeline. ``tests/llm`` compares these with plain versions.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from segmentry.llm import html, language, leaks, licenses, lines, merkle, mixing, neardup, quality, search, secret_scan
+from segmentry.llm import graysim, html, language, leaks, licenses, lines, merkle, mixing, neardup, quality, search, secret_scan
 from segmentry.llm.common import table
 
 
@@ -61,9 +61,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.prove(table(spark, sf_dir, "documents"))
 
 
+def op13_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graysim.near_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_language, op3_exact_top_k, op4_html_text, op5_quality, op6_mixing, op7_line_dedup, op8_secrets, op9_licenses, op10_near_duplicates,
-    op11_merkle_manifest)}
+    op11_merkle_manifest, op13_simhash_groups)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _LETTER_WORDS = r"string_split(nullif(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ''), ' ')"
