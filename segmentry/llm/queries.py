@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from segmentry.llm import graysim, html, language, leaks, licenses, lines, merkle, mixing, neardup, quality, search, secret_scan
+from segmentry.llm import fptree, graysim, html, language, leaks, licenses, lines, merkle, mixing, neardup, quality, search, secret_scan
 from segmentry.llm.common import table
 
 
@@ -61,13 +61,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.prove(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fptree.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graysim.near_fingerprints(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_language, op3_exact_top_k, op4_html_text, op5_quality, op6_mixing, op7_line_dedup, op8_secrets, op9_licenses, op10_near_duplicates,
-    op11_merkle_manifest, op13_simhash_groups)}
+    op11_merkle_manifest, op12_ranked_search, op13_simhash_groups)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _LETTER_WORDS = r"string_split(nullif(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ''), ' ')"
@@ -79,6 +83,8 @@ def _places(size: int) -> str:
     return (f"case when len(ws) >= {size} then list_transform(range(1, len(ws) - {size - 2}), lambda i: {{'p': i - 1, 's': array_to_string(ws[i:i + {size - 1}], ' ')}})"
             " when len(ws) > 0 then [{'p': 0::BIGINT, 's': array_to_string(ws, ' ')}] else [] end")
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 
 def _levels(source: str) -> str:
     """Recursive part: nodes (tree, level, pos, d, n) above the leaves of ``source``, where ``n`` counts the nodes of the level."""
@@ -174,5 +180,17 @@ full_ as (select l.*, coalesce(path, []) as path, t.subroot, (select d from abov
 f as (select *, list_reduce(list_prepend({{'before': false, 'd': case when hit then changed else d end}}, path),
  lambda a, s: {{'before': false, 'd': sha256(case when s.before then s.d || a.d else a.d || s.d end)}}).d as folded_root from full_)
 select doc_id, d as leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.d), '')) as proof_sha256, folded_root, folded_root = root as verified from f
+""",
+    "op12_ranked_search": f"""
+with b as (select item_id, string_agg(text, ' ' order by text) as text from (select distinct item_id, text from benchmark where item_id is not null and text is not null) group by item_id),
+q as (select item_id, term, count(*) as repeats from (select item_id, unnest({_TERMS}) as term from b) group by all),
+d as (select row_number() over () as r, doc_id, {_TERMS} as ts from documents),
+stats as (select count(*) filter (len(ts) > 0) as docs, sum(len(ts))::BIGINT as all_terms from d),
+tf as (select r, term, count(*) as tf from (select r, unnest(ts) as term from d) where term in (select term from q) group by all),
+w as (select term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT as w from tf, stats group by term, docs),
+m as (select r, doc_id, 75 + (25 * len(ts) * docs) // all_terms as m from d, stats),
+s as (select item_id, r, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT as score from q join tf using (term) join w using (term) join m using (r) group by all)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::INTEGER as rank, doc_id, score from s where score > 0 and doc_id is not null
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 20
 """,
 }
