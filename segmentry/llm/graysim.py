@@ -9,9 +9,10 @@ its children have in common, a child only the mask bits that its parent lacks. O
 query and the patterns add up, and a group is left as a whole once they exceed ``RADIUS``.
 
 The index has two parts. Above the blocks it is a table of nodes: pairs of nodes descend by joins on their parents, and
-pairs whose common mask bits differ too often go. Each pair of blocks that remains is one group of an Arrow
-function: the tree of one block is searched with the fingerprints of the other. It returns a spanning forest of the links
-found, never the pairs, and groups that are one linked component already are not compared with its members again.
+pairs whose common mask bits differ too often go; a fingerprint is sent to a block only if the block's pattern allows it.
+A block with the fingerprints of neighbouring blocks that ask it is one group of an Arrow function, which searches the
+block's tree. It returns a spanning forest of the links found, never the pairs, and groups that are one linked component
+already are not compared with its members again.
 
 Defined results: null, empty and wordless texts have fingerprint zero, which links like any other; a null ``doc_id`` gets a
 fingerprint and a null component, and links nothing; rows that repeat a ``doc_id`` are one document with the links of
@@ -32,8 +33,11 @@ from segmentry.operators.graph import connected_components
 
 SHINGLE = 3
 RADIUS = 3
-# Fingerprints of a block, children of a node inside a block, blocks of a node above the blocks, queries at a time.
+# Most fingerprints of a block, and the blocks that a smaller table is cut into (of no fewer than LEAST).
 BLOCK = 1 << 15
+SPREAD = 64
+LEAST = 256
+# Children of a node inside a block, bits of a node's number above the blocks, queries at a time.
 FAN = 4
 GROUP_BITS = 3
 CHUNK = 256
@@ -172,19 +176,17 @@ def _merge(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
             labels[:] = jumped
 
 
-def linked_forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within ``a`` (``b`` is None) or between ``a`` and ``b``, all in Gray order."""
-    members = a if b is None else b
+def linked_forest(queries: np.ndarray, members: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between ``queries`` and ``members``, which are in Gray order; a value may be in both."""
     tree = GrayTree(members)
-    offset = 0 if b is None else len(a)
-    labels = np.arange(offset + len(members))
-    for begin in range(0, len(a), CHUNK):
-        part = np.arange(begin, min(begin + CHUNK, len(a)))
-        q, found = tree.within(a[part], labels[part], tree.uniform(labels[offset:]), radius)
-        _merge(labels, part[q], found + offset)
-    values = a if b is None else np.concatenate([a, b])
-    tied = np.flatnonzero(labels != np.arange(len(labels)))
-    return values[tied], values[labels[tied]]
+    labels = np.arange(len(queries) + len(members))
+    for begin in range(0, len(queries), CHUNK):
+        part = np.arange(begin, min(begin + CHUNK, len(queries)))
+        q, found = tree.within(queries[part], labels[part], tree.uniform(labels[len(queries):]), radius)
+        _merge(labels, part[q], found + len(queries))
+    values = np.concatenate([queries, members])
+    ends = values[labels]
+    return values[values != ends], ends[values != ends]
 
 
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -192,25 +194,28 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     count = classes.count()
     if count < 2:
         return classes.select(F.col("fp").alias("a_id"), F.col("fp").alias("b_id")).limit(0)
-    blocks = -(-count // BLOCK)
+    blocks = max(-(-count // BLOCK), min(SPREAD, -(-count // LEAST)))
     ranked = classes.select("fp", gray_rank(F.col("fp")).alias("rank"))
     placed = written(ranked.repartitionByRange(blocks, "rank").select("fp", "rank", F.spark_partition_id().cast("bigint").alias("block")))
     summary = placed.groupBy(F.col("block").alias("node")).agg(F.bit_and("fp").alias("all_"), F.bit_or("fp").alias("any_"))
     lowest = written(_shared(summary.withColumn("parent", F.shiftright("node", GROUP_BITS))))
-    pairs = near_blocks(upper_levels(lowest, blocks), radius).withColumn("pair", F.concat_ws("-", "a", "b"))
-    pairs = written(pairs)
-    sides = pairs.select("pair", F.col("a").alias("block"), F.lit(False).alias("second")).unionByName(pairs.filter("a <> b").select("pair", F.col("b").alias("block"), F.lit(True).alias("second")))
-    rows = placed.join(small_side(sides), "block").select("pair", "second", "rank", "fp")
+    key = F.concat_ws("-", F.col("b"), F.shiftright("a", GROUP_BITS))
+    pairs = near_blocks(upper_levels(lowest, blocks), radius).withColumn("key", key)
+    pairs = written(pairs.join(lowest.select(F.col("node").alias("b"), "mask", "pattern"), "b"))
+    asked = written(pairs.select("key", "b").distinct())
+    differing = F.bit_count(F.col("fp").bitwiseXOR(F.col("pattern")).bitwiseAND(F.col("mask")))
+    queries = placed.join(small_side(pairs), (F.col("block") == F.col("a")) & (differing <= radius)).select("key", F.lit(False).alias("member"), "rank", "fp")
+    members = placed.join(small_side(asked), F.col("block") == F.col("b")).select("key", F.lit(True).alias("member"), "rank", "fp")
 
     def search(group: pa.Table) -> pa.Table:
         group = group.sort_by("rank")
-        values, second = group.column("fp").to_numpy().view(np.uint64), group.column("second").to_numpy(zero_copy_only=False)
-        a, b = linked_forest(values[~second], values[second] if second.any() else None, radius)
+        values, member = group.column("fp").to_numpy().view(np.uint64), group.column("member").to_numpy(zero_copy_only=False)
+        a, b = linked_forest(values[~member], values[member], radius)
         return pa.table({"a_id": a.view(np.int64), "b_id": b.view(np.int64)})
 
     # A number of partitions of its own: the rows are few bytes for the work that they mean, and would be put together.
-    spread = rows.repartition(max(1, min(pairs.count(), 1 << 15)), "pair")
-    return spread.groupBy("pair").applyInArrow(search, "a_id bigint, b_id bigint")
+    spread = queries.unionByName(members).repartition(max(1, min(-(-asked.count() // 4), 1 << 15)), "key")
+    return spread.groupBy("key").applyInArrow(search, "a_id bigint, b_id bigint")
 
 
 def near_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
