@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from segmentry.functions import numeric as num
 from segmentry.functions import vectors as vec
-from segmentry.operators import anomaly, consensus, density, explain, hierarchy, kmeans, mixture, monitoring, pairs, selection, spectral, stability, supervised, tendency
+from segmentry.operators import anomaly, condensed, consensus, density, explain, hierarchy, kmeans, mixture, monitoring, pairs, selection, spectral, stability, supervised, tendency
 from segmentry.operators import order as ordering
 from segmentry.operators import profiling as prof
 from segmentry.operators import sampling as samp
@@ -252,6 +254,60 @@ def m10(spark, d):
     return density.dbscan(fx.v_vec(spark, d), 1.2, 5)
 
 
+# Clusters of a least size from the Prim order of mutual reachability: the components below a weight are runs of it.
+_LEAST = (5, 30, 75, 150)
+_CONDENSED = f"""WITH RECURSIVE {PAIRS}, core AS (SELECT a, max(d) AS core FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS i FROM p) WHERE i <= 10 GROUP BY 1),
+  ids AS MATERIALIZED (SELECT row_id, row_number() OVER (ORDER BY row_id) AS i, core FROM v_vec JOIN core ON a = row_id),
+  m AS MATERIALIZED (SELECT x.i AS i, list(CASE WHEN p.d IS NULL THEN 'inf'::DOUBLE ELSE round(greatest(p.d, x.core, y.core)::DOUBLE, 9) END ORDER BY y.i) AS l FROM ids x CROSS JOIN ids y LEFT JOIN p ON p.a = x.row_id AND p.b = y.row_id GROUP BY 1),
+  grown(step, place, h, best, inside) AS (SELECT 1, 1::BIGINT, 'inf'::DOUBLE, l, [i] FROM m WHERE i = 1 UNION ALL
+    SELECT step + 1, m.i, list_min(g.best), list_transform(g.best, lambda x, j: CASE WHEN j = m.i OR list_contains(g.inside, j) THEN 'inf'::DOUBLE ELSE least(x, m.l[j]) END), list_append(g.inside, m.i)
+    FROM grown g JOIN m ON m.i = list_position(g.best, list_min(g.best)) WHERE step < len(g.best)),
+  seq AS MATERIALIZED (SELECT step AS pos, row_id, h FROM grown JOIN ids ON i = place),
+  ws AS (SELECT w, lag(w) OVER (ORDER BY w) AS before FROM (SELECT DISTINCT h AS w FROM seq WHERE h < 'inf'::DOUBLE)),
+  lev AS MATERIALIZED (SELECT w, pos, row_id, sum(CASE WHEN h > w THEN 1 ELSE 0 END) OVER (PARTITION BY w ORDER BY pos) AS run FROM ws, seq),
+  comp AS MATERIALIZED (SELECT w, run, count(*) AS size, min(pos) AS lo, max(pos) AS hi, min(row_id) AS low FROM lev GROUP BY 1, 2),
+  ls AS (SELECT unnest({list(_LEAST)}) AS least),
+  tok AS MATERIALIZED (SELECT least, c.w, c.lo, c.hi, c.low FROM comp c JOIN ls ON c.size >= least JOIN ws ON ws.w = c.w
+    LEFT JOIN comp b ON b.w = ws.before AND b.size >= least AND b.lo BETWEEN c.lo AND c.hi GROUP BY ALL HAVING count(b.lo) <> 1),
+  fell AS MATERIALIZED (SELECT least, row_id, t.w AS w, arg_max(tok.w, tok.w) AS tw, arg_max(tok.low, tok.w) AS tid FROM (
+      SELECT least, row_id, min(lev.w) AS w, arg_min(comp.lo, lev.w) AS lo, arg_min(comp.hi, lev.w) AS hi FROM lev JOIN comp USING (w, run) JOIN ls ON comp.size >= least GROUP BY 1, 2) t
+    JOIN tok USING (least) WHERE tok.w <= t.w AND tok.lo >= t.lo AND tok.hi <= t.hi GROUP BY ALL),
+  up AS MATERIALIZED (SELECT k.least, k.w, k.low, k.lo, k.hi, min(o.w) AS birth, arg_min(o.low, o.w) AS above FROM tok k LEFT JOIN tok o ON o.least = k.least AND o.w > k.w AND o.lo <= k.lo AND o.hi >= k.hi GROUP BY ALL),
+  num AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY least ORDER BY coalesce(birth, 'inf'::DOUBLE) DESC, w DESC, low) - 1 AS cluster, coalesce(1 / greatest(birth, 1e-12), 0.0::DOUBLE) AS lb FROM up),
+  par AS MATERIALIZED (SELECT c.*, q.cluster AS parent, s.size FROM num c LEFT JOIN num q ON q.least = c.least AND q.w = c.birth AND q.low = c.above LEFT JOIN ws ON ws.w = c.birth
+    LEFT JOIN comp s ON s.w = ws.before AND s.lo <= c.lo AND s.hi >= c.hi),
+  pts AS MATERIALIZED (SELECT f.least, f.row_id, n.cluster, 1 / greatest(f.w, 1e-12) AS lam FROM fell f JOIN num n ON n.least = f.least AND n.w = f.tw AND n.low = f.tid),
+  stab AS MATERIALIZED (SELECT c.*, coalesce((SELECT sum(lam - c.lb) FROM pts WHERE pts.least = c.least AND pts.cluster = c.cluster), 0)
+    + coalesce((SELECT sum((x.lb - c.lb) * x.size) FROM par x WHERE x.least = c.least AND x.parent = c.cluster), 0) AS stability FROM par c),
+  eom(least, c, below, wins) AS (SELECT least, max(cluster), list(0.0::DOUBLE), list(false) FROM stab GROUP BY 1 UNION ALL
+    SELECT e.least, e.c - 1, list_transform(e.below, lambda x, j: CASE WHEN j = s.parent + 1 THEN x + greatest(s.stability, e.below[e.c + 1]) ELSE x END),
+      list_transform(e.wins, lambda x, j: CASE WHEN j = e.c + 1 THEN s.parent IS NOT NULL AND s.stability >= e.below[e.c + 1] ELSE x END) FROM eom e JOIN stab s ON s.least = e.least AND s.cluster = e.c),
+  won AS (SELECT s.*, wins[cluster + 1] AS win FROM stab s JOIN eom ON eom.least = s.least AND eom.c = -1),
+  cho AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY least ORDER BY cluster) - 1 AS label FROM won x WHERE win AND NOT EXISTS (SELECT 1 FROM won y WHERE y.least = x.least AND y.win AND y.w > x.w AND y.lo <= x.lo AND y.hi >= x.hi))"""
+
+
+def _density_trees(spark, d):
+    rows = fx.v_vec(spark, d).select("row_id", "v")
+    tree = condensed.reachability_tree(rows, 10)
+    return rows, {least: condensed.hdbscan(rows, tree, least) for least in _LEAST}
+
+
+@query("m11_hdbscan", f"""{_CONDENSED} SELECT ls.least, v.row_id, coalesce(max(cho.label), -1)::INT AS cluster FROM v_vec v CROSS JOIN ls LEFT JOIN pts ON pts.least = ls.least AND pts.row_id = v.row_id
+  LEFT JOIN num n ON n.least = ls.least AND n.cluster = pts.cluster LEFT JOIN cho ON cho.least = ls.least AND cho.w >= n.w AND cho.lo <= n.lo AND cho.hi >= n.hi GROUP BY 1, 2""")
+def m11(spark, d):
+    rows, trees = _density_trees(spark, d)
+    parts = [t.labels(rows).select(F.lit(least).alias("least"), "row_id", "cluster") for least, t in trees.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("m11_condensed_tree", f"""{_CONDENSED} SELECT least, cluster AS parent, row_id AS child, false AS is_cluster, {r('lam')} AS lambda, 1::BIGINT AS child_size FROM pts
+  UNION ALL SELECT least, parent, cluster, true, {r('lb')}, size FROM par WHERE parent IS NOT NULL""")
+def m11t(spark, d):
+    _, trees = _density_trees(spark, d)
+    parts = [t.rows().select(F.lit(least).alias("least"), "parent", "child", "is_cluster", num6(F.col("lambda")).alias("lambda"), "child_size") for least, t in trees.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("m12_gaussian_mixture")
 def m12(spark, d):
     rows = _reduced(spark, d)
