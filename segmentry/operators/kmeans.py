@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from segmentry.functions.hashing import draw_key
-from segmentry.functions.vectors import distances, matrix
-from segmentry.operators.sampling import sample_n
+from segmentry.functions.vectors import distances, list_array, matrix
+
+# Rounds of draws for starting centres, each of twice as many rows as the largest k.
+SEED_ROUNDS = 5
 
 
 @dataclass
@@ -40,21 +42,60 @@ def hash_seeds(df: DataFrame, k: int, seed: int) -> np.ndarray:
     return np.array([r["v"] for r in rows.orderBy("__d").limit(k).collect()])
 
 
-def plus_plus_seeds(df: DataFrame, sizes: Sequence[int], seed: int, oversample: int = 40) -> list[np.ndarray]:
-    """Distance-weighted starting centres, one set per entry of ``sizes``, from a hash sample of the rows.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def seed_pool(df: DataFrame, draws: int, seed: int, rounds: int = SEED_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate centres from all rows, and the number of rows nearest to each.
+
+    Every round draws ``draws`` rows without replacement with chances in proportion to the squared distance to the
+    candidates so far: each row runs a race whose time is exponential at that rate and depends on its id, a task returns its
+    first ones, and the first of all tasks are taken. So a small group that is far from the rest is found whatever its share.
+    """
+    rows = df.select("row_id", F.col("v").cast("array<double>").alias("v"))
+    pool = hash_seeds(df, 1, seed)
+    for number in range(rounds):
+        start = _mixed(np.array([(seed + 1) * 1_000_003 + number], dtype=np.uint64))[0]
+
+        def race(batches: Iterator[pa.RecordBatch], pool: np.ndarray = pool, start: np.uint64 = start) -> Iterator[pa.RecordBatch]:
+            times, ids, vectors = np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros((0, pool.shape[1]))
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                own, x = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1))
+                rate = distances(x, pool).min(axis=1) ** 2
+                u = ((_mixed(_mixed(own.astype(np.int64).view(np.uint64)) ^ start) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+                time = np.divide(-np.log(u), rate, out=np.full(len(x), np.inf), where=rate > 0)
+                times, ids, vectors = np.concatenate([times, time]), np.concatenate([ids, own]), np.concatenate([vectors, x])
+                first = np.lexsort((ids, times))[:draws]
+                times, ids, vectors = times[first], ids[first], vectors[first]
+            real = np.isfinite(times)
+            yield pa.RecordBatch.from_arrays([pa.array(times[real]), pa.array(ids[real]), list_array(vectors[real])], names=["time", "row_id", "v"])
+
+        drawn = rows.mapInArrow(race, "time double, row_id bigint, v array<double>").orderBy("time", "row_id").limit(draws).toArrow()
+        if not drawn.num_rows:
+            break
+        pool = np.concatenate([pool, matrix(drawn.column("v"))])
+    return pool, _pass(rows, [pool], None)[0][0]
+
+
+def plus_plus_seeds(df: DataFrame, sizes: Sequence[int], seed: int, pool: tuple[np.ndarray, np.ndarray] | None = None) -> list[np.ndarray]:
+    """Distance-weighted starting centres, one set per entry of ``sizes``, from a pool of candidates weighted by their rows.
 
-    The sample has ``oversample`` rows per centre of the largest set, whatever the table size.
+    Calls that differ in the seed only may share a ``seed_pool``.
     """
-    sample = sample_n(df.select("row_id", "v"), "row_id", oversample * max(sizes), seed, "seed-pool").orderBy("row_id").toArrow()
-    x = matrix(sample.column("v"))
+    x, weight = seed_pool(df, 2 * max(sizes), seed) if pool is None else pool
     out = []
     for run, k in enumerate(sizes):
         rng = np.random.default_rng([seed, run])
-        picked = [int(rng.integers(len(x)))]
+        picked = [int(rng.choice(len(x), p=weight / weight.sum()))]
         nearest = distances(x, x[picked]).min(axis=1) ** 2
         while len(picked) < k:
-            mass = nearest.sum()
-            spot = int(rng.choice(len(x), p=nearest / mass)) if mass > 0 else int(rng.integers(len(x)))
+            mass = weight * nearest
+            spot = int(rng.choice(len(x), p=mass / mass.sum())) if mass.sum() > 0 else int(rng.integers(len(x)))
             picked.append(spot)
             nearest = np.minimum(nearest, distances(x, x[[spot]])[:, 0] ** 2)
         out.append(x[picked].copy())

@@ -1,8 +1,7 @@
-"""Spectral embedding of a nearest-neighbour graph by block orthogonal iteration."""
+"""Spectral embedding of a nearest-neighbour graph by Chebyshev-filtered subspace iteration."""
 
 from __future__ import annotations
 
-import warnings
 from functools import reduce
 
 import numpy as np
@@ -22,55 +21,81 @@ def neighbour_graph(df: DataFrame, neighbours: int = 20) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def spectral_embedding(graph: DataFrame, k: int, seed: int, rounds: int = 8, steps: int = 4, guard: int = 3, tolerance: float = 1e-3) -> DataFrame:
+def spectral_embedding(graph: DataFrame, k: int, seed: int, rounds: int = 60, degree: int = 12, guard: int = 3, tolerance: float = 1e-3) -> DataFrame:
     """``row_id, v``: the k leading eigenvectors of the normalised adjacency, divided by the root degree.
 
-    A step is a join of edges with the current vectors and a sum per source; after ``steps`` of them the block is
-    orthonormalised through its Gram matrix. The operator is shifted to (I + A) / 2, so every eigenvalue is positive.
-    ``guard`` further columns take part, because the leading ones then settle faster, and are dropped at the end.
-    A warning names the largest residual of the k columns, against the span they make, if it is above ``tolerance``.
+    A round filters a block of ``k + guard`` columns by a Chebyshev polynomial that is small on the part of the spectrum
+    below the block and grows steeply above it; one degree is a join of the edges with the current vectors and a sum per
+    source. A Rayleigh-Ritz step then turns the block to its best eigenvectors, with products of columns the only thing on the
+    driver. Rounds end when the residuals of the k columns are all at most ``tolerance``; a block that has not
+    settled after ``rounds`` is an error. Eigenvalues that are as large as those of the guard columns are told apart by chance.
     """
-    degree = graph.groupBy("src").agg(F.sum("w").alias("d"))
-    left = degree.select("src", F.col("d").alias("ds"))
-    right = degree.select(F.col("src").alias("dst"), F.col("d").alias("dd"))
+    weight = graph.groupBy("src").agg(F.sum("w").alias("d"))
+    left = weight.select("src", F.col("d").alias("ds"))
+    right = weight.select(F.col("src").alias("dst"), F.col("d").alias("dd"))
     edges = cut_lineage(graph.join(left, "src").join(right, "dst").select("src", "dst", (F.col("w") / F.sqrt(F.col("ds") * F.col("dd"))).alias("w")))
-    names = [f"u{i}" for i in range(k + guard)]
+    names = [f"u{i}" for i in range(min(k + guard, weight.count()))]
+    if len(names) < k:
+        raise ValueError(f"{k} eigenvectors of {len(names)} rows")
     # The first eigenvector is known up to scale: the root degree. The others start from hashed numbers.
-    root = F.sqrt("d").alias("u0")
-    start = [root] + [(uniform(seed, "spectral", i, F.col("src")) - 0.5).alias(f"u{i}") for i in range(1, len(names))]
-    block = degree.select(F.col("src").alias("row_id"), *start)
-    block = _orthonormal(cut_lineage(block), names)
+    start = [F.sqrt("d").alias("u0")] + [(uniform(seed, "spectral", i, F.col("src")) - 0.5).alias(f"u{i}") for i in range(1, len(names))]
+    block = cut_lineage(weight.select(F.col("src").alias("row_id"), *start))
+    block, values, residual = _ritz(edges, block, names)
     for _ in range(rounds):
-        for _ in range(steps):
-            heard = edges.join(block.withColumnRenamed("row_id", "dst"), "dst").groupBy(F.col("src").alias("row_id")).agg(
-                *[F.sum(F.col("w") * F.col(u)).alias(f"__{u}") for u in names])
-            block = block.join(heard, "row_id", "left").select(
-                "row_id", *[((F.col(u) + F.coalesce(f"__{u}", F.lit(0.0))) / 2).alias(u) for u in names])
-        block = _orthonormal(cut_lineage(block), names)
-    lead = names[:k]
-    heard = edges.join(block.withColumnRenamed("row_id", "dst"), "dst").groupBy(F.col("src").alias("row_id")).agg(*[F.sum(F.col("w") * F.col(u)).alias(f"__{u}") for u in lead])
-    cells = [(i, j) for i in range(k) for j in range(k)]
-    row = block.join(heard, "row_id").agg(*[F.sum(F.col(f"__{u}") * F.col(f"__{u}")).alias(f"n_{u}") for u in lead], *[F.sum(F.col(names[i]) * F.col(f"__{names[j]}")).alias(f"g{i}_{j}") for i, j in cells]).first()
-    residual = max(max(row[f"n_{names[j]}"] - sum(row[f"g{i}_{j}"] ** 2 for i in range(k)), 0.0) ** 0.5 for j in range(k))
-    if residual > tolerance:
-        warnings.warn(f"spectral embedding not converged: residual {residual:.1e} after {rounds * steps} steps", RuntimeWarning, stacklevel=2)
-    scaled = block.join(degree.withColumnRenamed("src", "row_id"), "row_id")
+        if residual[:k].max() <= tolerance:
+            break
+        block, values, residual = _ritz(edges, _filtered(edges, block, names, float(values[-1]), degree), names)
+    if residual[:k].max() > tolerance:
+        raise RuntimeError(f"spectral embedding not converged: residual {residual[:k].max():.1e} after {rounds} rounds of {degree} steps")
+    scaled = block.join(weight.withColumnRenamed("src", "row_id"), "row_id")
     return scaled.select("row_id", F.array(*[F.col(u) / F.sqrt("d") for u in names[:k]]).alias("v"))
 
 
-def _orthonormal(block: DataFrame, names: list[str]) -> DataFrame:
-    """Columns times the inverse Cholesky factor of their Gram matrix."""
-    cells = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    row = block.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"g{i}_{j}") for i, j in cells]).first()
-    gram = np.zeros((len(names), len(names)))
+def _heard(edges: DataFrame, block: DataFrame, names: list[str]) -> DataFrame:
+    """``block`` with the product of the adjacency and each of its columns beside them."""
+    sums = edges.join(block.withColumnRenamed("row_id", "dst"), "dst").groupBy(F.col("src").alias("row_id")).agg(*[F.sum(F.col("w") * F.col(u)).alias(f"__{u}") for u in names])
+    return block.join(sums, "row_id", "left").fillna(0.0, [f"__{u}" for u in names])
+
+
+def _filtered(edges: DataFrame, block: DataFrame, names: list[str], upper: float, degree: int) -> DataFrame:
+    """The block under the Chebyshev polynomial of ``degree`` that stays within 1 on [-1, upper]."""
+    centre, half = (upper - 1.0) / 2, max((upper + 1.0) / 2, 1e-3)
+    last = [f"p{u}" for u in names]
+    state = block.select("row_id", *names, *[F.lit(0.0).alias(p) for p in last])
+    for step in range(degree):
+        scale = (1.0 if step == 0 else 2.0) / half
+        new = [(scale * (F.col(f"__{u}") - centre * F.col(u)) - F.col(p)).alias(u) for u, p in zip(names, last)]
+        state = _heard(edges, state, names).select("row_id", *new, *[F.col(u).alias(p) for u, p in zip(names, last)])
+        if step % 4 == 3:
+            state = cut_lineage(state)
+    return state.select("row_id", *names)
+
+
+def _ritz(edges: DataFrame, block: DataFrame, names: list[str]) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The block turned to its Ritz vectors of unit length, their values (falling) and residuals."""
+    heard = cut_lineage(_heard(edges, block, names))
+    n = len(names)
+    both = [*names, *[f"__{u}" for u in names]]
+    cells = [(i, j) for i in range(2 * n) for j in range(i + 1)]
+    row = heard.agg(*[F.sum(F.col(both[i]) * F.col(both[j])).alias(f"g{i}_{j}") for i, j in cells]).first()
+    gram = np.zeros((2 * n, 2 * n))
     for i, j in cells:
         gram[i, j] = gram[j, i] = row[f"g{i}_{j}"]
-    turn = np.linalg.inv(np.linalg.cholesky(gram + 1e-14 * np.trace(gram) * np.eye(len(names)))).T
+    own, cross, square = gram[:n, :n], gram[:n, n:], gram[n:, n:]
+    length = np.sqrt(np.diag(own))
+    scaled = own / np.outer(length, length)
+    lean = np.linalg.inv(np.linalg.cholesky(scaled + 1e-13 * np.eye(n))).T / length[:, None]
+    small = lean.T @ ((cross + cross.T) / 2) @ lean
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    order = np.argsort(-values)
+    turn, values = lean @ turn[:, order], values[order]
+    # |A x - value x|^2 from the products of the columns.
+    residual = np.sqrt(np.maximum(np.diag(turn.T @ square @ turn) - 2 * values * np.diag(turn.T @ cross @ turn) + values**2 * np.diag(turn.T @ own @ turn), 0.0))
 
     def mixed(j: int) -> Column:
-        return reduce(lambda a, b: a + b, [F.col(names[i]) * float(turn[i, j]) for i in range(j + 1)])
+        return reduce(lambda a, b: a + b, [F.col(names[i]) * float(turn[i, j]) for i in range(n)])
 
-    return block.select("row_id", *[mixed(j).alias(names[j]) for j in range(len(names))])
+    return cut_lineage(heard.select("row_id", *[mixed(j).alias(names[j]) for j in range(n)])), values, residual
 
 
 def spectral(df: DataFrame, k: int, seed: int, neighbours: int = 20, n_init: int = 10, graph: DataFrame | None = None) -> tuple[DataFrame, Fit]:

@@ -23,10 +23,12 @@ MODEL_BYTES = 64 << 20
 def silhouette_points(df: DataFrame, candidates: Sequence[str] = ("cluster",), metric: str = "euclidean") -> DataFrame:
     """Exact point silhouettes: ``row_id, candidate, cluster, silhouette``; rows with a label below 0 are left out.
 
-    All labelings share one pass over the pairs of rows.
+    All labelings share one pass over the pairs of rows; cosine distances need no pairs.
     """
     names = list(candidates)
-    sums = cluster_distance_sums(df, names, metric)
+    sums = cosine_sums(df, names) if metric == "cosine" else None
+    if sums is None:
+        sums = cluster_distance_sums(df, names, metric)
     index = F.array_position(F.array(*[F.lit(c) for c in names]), F.col("column")) - 1
     labels = unpivot(df, names, ["row_id"], "bigint").select("row_id", index.cast("int").alias("candidate"), F.col("value").alias("cluster"))
     labels = labels.filter(F.col("cluster") >= 0)
@@ -42,6 +44,64 @@ def silhouette_points(df: DataFrame, candidates: Sequence[str] = ("cluster",), m
     return points.select("row_id", name.alias("candidate"), "cluster", F.when(F.col("b").isNotNull(), value).alias("silhouette"))
 
 
+def cosine_sums(df: DataFrame, candidates: Sequence[str]) -> DataFrame | None:
+    """``row_id, candidate, other, total``: summed cosine distance from each row to each cluster, without pairs.
+
+    The sum over a cluster is its size less the dot product with the sum of its unit vectors, so each row meets one vector
+    per cluster. None if these vectors are more than ``MODEL_BYTES``. A zero vector has distance 1 to all others.
+    """
+    names = list(candidates)
+    rows = df.select("row_id", F.col("v").cast("array<double>").alias("v"), *[F.col(c).cast("bigint").alias(c) for c in names])
+    sizes = unpivot(rows, names, ["row_id"], "bigint").filter("value >= 0").groupBy(F.col("column").alias("name"), F.col("value").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut_lineage(sizes)
+    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    if sizes.count() * width * 8 > MODEL_BYTES:
+        return None
+    groups = {c: [] for c in names}
+    for row in sizes.collect():
+        groups[row["name"]].append((row["cluster"], row["n"]))
+    known = [np.array(sorted(groups[c]), dtype=np.int64).reshape(-1, 2) for c in names]
+
+    def unit(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        x = vec.matrix(batch.column(1))
+        length = np.linalg.norm(x, axis=1)
+        return x / np.where(length > 0, length, 1.0)[:, None], length > 0
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((len(k), width)) for k in known]
+        for batch in batches:
+            if batch.num_rows:
+                u, _ = unit(batch)
+                for i, k in enumerate(known):
+                    label = batch.column(2 + i).to_numpy(zero_copy_only=False)
+                    used = label >= 0
+                    np.add.at(total[i], np.searchsorted(k[:, 0], label[used]), u[used])
+        for i, t in enumerate(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(t.size, i, np.int32)), pa.array(np.arange(t.size)), pa.array(t.ravel())], names=["candidate", "cell", "value"])
+
+    parts = rows.mapInArrow(add, "candidate int, cell bigint, value double").groupBy("candidate", "cell").agg(F.sum("value").alias("value")).toArrow()
+    model = [np.zeros(len(k) * width) for k in known]
+    which, cell, value = (parts.column(c).to_numpy() for c in ("candidate", "cell", "value"))
+    for i, m in enumerate(model):
+        m[cell[which == i]] = value[which == i]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, (u, real) = batch.column(0).to_numpy(zero_copy_only=False), unit(batch)
+            for i, k in enumerate(known):
+                total = k[:, 1][None, :] - u @ model[i].reshape(len(k), width).T
+                # A zero vector would count its distance to itself.
+                total[(batch.column(2 + i).to_numpy(zero_copy_only=False)[:, None] == k[:, 0][None, :]) & ~real[:, None]] -= 1.0
+                n = len(ids) * len(k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, len(k))), pa.array(np.full(n, i, np.int32)), pa.array(np.tile(k[:, 0], len(ids))), pa.array(np.maximum(total, 0.0).ravel())],
+                    names=["row_id", "candidate", "other", "total"])
+
+    return rows.mapInArrow(measure, "row_id bigint, candidate int, other bigint, total double")
+
+
 def mean_silhouette(points: DataFrame) -> DataFrame:
     return points.groupBy("candidate").agg(F.avg("silhouette").alias("silhouette"))
 

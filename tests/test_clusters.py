@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from segmentry.operators import anomaly, consensus, density, explain, factorisation, graph, hierarchy, kmeans, mixture, monitoring, pairs, spectral, stability, supervised, tendency
+from segmentry.operators import anomaly, condensed, consensus, density, explain, factorisation, graph, hierarchy, kmeans, mixture, monitoring, pairs, spectral, stability, supervised, tendency
 from segmentry.operators import validation as val
 from segmentry.session import cut_lineage
 
@@ -322,9 +322,114 @@ def test_linear_fits_of_phase_two_read_all_rows(spark, monkeypatch):
     assert seen == {"kmeans": {120}, "fit_mixtures": {120}, "gap_statistic": {120}} and tables["sample"].count() == 60
     names = {r["configuration"] for r in tables["family_scores"].collect()}
     assert {f"agglomerative_{linkage}_k3" for linkage in hierarchy.LINKAGES} | {f"gmm_{kind}_k3" for kind in mixture.COVARIANCES} <= names
+    assert {f"hdbscan_mcs{least}" for least in (30, 75, 150)} <= names
 
 
-def test_unconverged_spectral_embedding_warns(spark):
+def test_spectral_embedding_settles_on_a_ring(spark):
     graph = spark.createDataFrame([(i, (i + d) % 120, 1.0) for i in range(120) for d in (-1, 0, 1)], "src bigint, dst bigint, w double")
-    with pytest.warns(RuntimeWarning, match="not converged"):
-        spectral.spectral_embedding(graph, 3, 1, rounds=1, steps=1)
+    v = np.array([r["v"] for r in spectral.spectral_embedding(graph, 3, 1).orderBy("row_id").collect()]) * np.sqrt(3.0)
+    a = sum(np.roll(np.eye(120), d, axis=1) for d in (-1, 0, 1)) / 3
+    values = np.array([x @ a @ x for x in v.T])
+    assert np.abs(v.T @ v - np.eye(3)).max() < 1e-6
+    assert np.linalg.norm(a @ v - v * values, axis=0).max() < 1e-3
+    assert np.allclose(values, [1.0, (1 + 2 * np.cos(2 * np.pi / 120)) / 3, (1 + 2 * np.cos(2 * np.pi / 120)) / 3], atol=2e-4)
+
+
+def test_unsettled_spectral_embedding_is_an_error(spark):
+    graph = spark.createDataFrame([(i, (i + d) % 120, 1.0) for i in range(120) for d in (-1, 0, 1)], "src bigint, dst bigint, w double")
+    with pytest.raises(RuntimeError, match="not converged"):
+        spectral.spectral_embedding(graph, 3, 1, rounds=1, degree=1)
+
+
+def test_a_small_far_cluster_is_seeded(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(0, 1, (3996, 2)), rng.normal(0, 0.1, (4, 2)) + 60])
+    df = frame(spark, x).cache()
+    for seed in range(20):
+        (starts,) = kmeans.plus_plus_seeds(df, [4], seed)
+        assert (starts.sum(axis=1) > 100).any()
+
+
+def _plain_condensed(x, min_samples, least):
+    """Clusters of a least size from all thresholds of mutual reachability: rows' clusters and the choice, by definition."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, min_samples]
+    w = np.round(np.maximum(d, np.maximum(core[:, None], core[None])), 9)
+    levels = sorted(set(w[np.triu_indices(len(x), 1)]))
+    token, names, fell, above = [None] * len(x), {}, {}, {}
+    for t in levels:
+        group = np.full(len(x), -1)
+        for i in range(len(x)):
+            if group[i] < 0:
+                todo = [i]
+                group[i] = i
+                while todo:
+                    for j in np.flatnonzero((w[todo.pop()] <= t) & (group < 0)):
+                        group[j] = i
+                        todo.append(j)
+        for root in np.unique(group):
+            members = np.flatnonzero(group == root)
+            if len(members) < least:
+                continue
+            inside = {token[m] for m in members if token[m]}
+            name = inside.pop() if len(inside) == 1 else (t, int(root))
+            for old in inside if name not in names else ():
+                above[old] = (t, name, sum(token[m] == old for m in members))
+            names[name] = None
+            for m in members:
+                if token[m] is None:
+                    fell[m] = (t, name)
+                token[m] = name
+        if len(np.unique(group)) == 1:
+            break
+    order = sorted(names, key=lambda n: (-above[n][0] if n in above else -np.inf, -n[0], n[1]))
+    birth = {n: 1 / max(above[n][0], 1e-12) if n in above else 0.0 for n in order}
+    mass = {n: sum(1 / max(t, 1e-12) - birth[n] for t, o in fell.values() if o == n) + sum((birth[c] - birth[n]) * a[2] for c, a in above.items() if a[1] == n) for n in order}
+
+    def best(n):
+        below = [best(c) for c in order if c in above and above[c][1] == n]
+        total = sum(b[0] for b in below)
+        return (mass[n], [n]) if n in above and mass[n] >= total else (total, [c for b in below for c in b[1]])
+
+    chosen = [n for n in order if n in best(order[0])[1]]
+
+    def label(n):
+        while n is not None and n not in chosen:
+            n = above[n][1] if n in above else None
+        return -1 if n is None else chosen.index(n)
+
+    rows = {(order.index(above[n][1]), order.index(n), True, round(birth[n], 6), above[n][2]) for n in above}
+    return [label(fell[i][1]) for i in range(len(x))], rows | {(order.index(n), int(i), False, round(1 / max(t, 1e-12), 6), 1) for i, (t, n) in fell.items()}
+
+
+@pytest.fixture(scope="module")
+def dense_parts(spark):
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(c, 0.3, (40, 2)) for c in ((0, 0), (4, 0), (4.0, 2.5))] + [rng.uniform(-3, 7, (25, 2)), np.repeat([[9.0, 9.0]], 12, 0)])
+    df = frame(spark, x).cache()
+    return x, df, condensed.reachability_tree(df, 5)
+
+
+@pytest.mark.parametrize(("least", "stage"), [(8, 1 << 18), (8, 20), (20, 1 << 18)])
+def test_condensed_tree_by_definition(dense_parts, monkeypatch, least, stage):
+    x, df, tree = dense_parts
+    monkeypatch.setattr(condensed, "STAGE_EDGES", stage)
+    found = condensed.hdbscan(df, tree, least)
+    labels, rows = _plain_condensed(x, 5, least)
+    assert [r["cluster"] for r in found.labels(df).orderBy("row_id").collect()] == labels and max(labels) >= 2
+    assert {(r["parent"], r["child"], r["is_cluster"], round(r["lambda"], 6), r["child_size"]) for r in found.rows().collect()} == rows
+
+
+def test_condensed_tree_of_too_few_rows_is_noise(dense_parts):
+    _, df, tree = dense_parts
+    few = condensed.hdbscan(df, tree, 1000)
+    assert few.rows().count() == 0 and {r["cluster"] for r in few.labels(df).collect()} == {-1}
+
+
+def test_cosine_sums_equal_those_of_pairs(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (60, 4)), np.zeros((2, 4)), np.ones((3, 4))])
+    df = frame(spark, x).withColumn("cluster", (F.col("row_id") % 4).cast("bigint") - 1).withColumn("other_one", (F.col("row_id") % 3).cast("bigint"))
+    keys = ["row_id", "candidate", "other"]
+    got, want = ({tuple(r[k] for k in keys): r["total"] for r in t.collect()} for t in (val.cosine_sums(df, ["cluster", "other_one"]), pairs.cluster_distance_sums(df, ["cluster", "other_one"], "cosine")))
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in got) < 1e-9
