@@ -74,10 +74,13 @@ def mixture_plan(docs: DataFrame, source: str = "source", text: str = "text", en
     exponent = exponent_for_entropy(shares, entropy) if entropy is not None else exponent_for_repeats(shares, max_repeats)
     powers = shares.agg(F.sum(F.exp(exponent * F.col("l"))).alias("z"), F.max(F.col("tokens") / F.exp(exponent * F.col("l"))).alias("once")).first()
     whole = budget if budget is not None else powers["z"] * powers["once"]
-    # The small addition keeps a quota that is whole in exact arithmetic from falling one short.
+    # The small addition keeps a quota that is whole in exact arithmetic from falling one short. Beyond the precision of
+    # doubles it cannot, so without a budget no source gets less than all of its tokens.
     weight = F.exp(exponent * F.log(F.col("tokens") / F.lit(top))) / F.lit(powers["z"])
     planned = totals.withColumn("weight", F.when(F.col("tokens") > 0, weight))
-    return written(planned.withColumn("quota", F.when(F.col("tokens") > 0, F.floor(F.col("weight") * F.lit(float(whole)) + 1e-6)).otherwise(F.lit(0)).cast("bigint")))
+    quota = F.floor(F.col("weight") * F.lit(float(whole)) + 1e-6)
+    quota = F.greatest(quota, F.col("tokens")) if budget is None else quota
+    return written(planned.withColumn("quota", F.when(F.col("tokens") > 0, quota).otherwise(F.lit(0)).cast("bigint")))
 
 
 def _block_key(source: Column, block: Column, epoch: Column) -> Column:

@@ -27,8 +27,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from segmentry.llm.common import ascii_spaced, letter_spaced, shingle_hashes, small_side, split_words, written
+from segmentry.llm.common import ascii_spaced, letter_spaced, shingle_hashes, small_side, split_words, text_key, written
 from segmentry.operators.graph import connected_components
 
 BANDS = 32
@@ -200,12 +201,32 @@ def _crossing_pairs(banded: DataFrame, label: DataFrame, reps: DataFrame) -> Dat
 
 
 def keep_one(docs: DataFrame, spaced=letter_spaced, size: int = 5, text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: all rows of kept ids, but only one where an id repeats."""
-    marks = near_groups(docs, spaced, size, text).filter("doc_id is not null")
-    marks = written(marks.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("not kept or n > 1"))
-    # The ids to leave are fewer than those to keep, so the texts need no shuffle as long as they can be broadcast.
-    once = docs.join(small_side(marks.select("doc_id")), "doc_id", "left_anti")
-    repeated = marks.filter("kept").select("doc_id")
+    """``docs`` with one document of each group, the one with the smallest id.
+
+    A document is an id and its text. Rows that repeat both are one document, of which the row with the smallest other
+    columns stays; different texts under one id are documents of their own, the one of the smallest digest under the id itself, the
+    others after all ids. Rows without an id stay.
+    """
+    columns = docs.columns
+    keyed = docs.withColumn("__key", text_key(F.col(text)))
+    ids = keyed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("__key").alias("__low"), F.max("__key").alias("__high"), F.count(F.lit(1)).alias("__rows"))
+    repeated = written(ids.filter("__rows > 1"))
     if repeated.isEmpty():
-        return once
-    return once.unionByName(docs.join(small_side(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        return _without_dropped(docs, spaced, size, text, "doc_id")
+    top = docs.agg(F.max("doc_id")).first()[0]
+    several = small_side(repeated.filter("__low <> __high").select("doc_id", "__low"))
+    others = keyed.join(several, "doc_id").filter(F.col("__key") != F.col("__low")).select("doc_id", "__key").distinct()
+    numbered = written(others.withColumn("__unit", F.lit(top + 1) + F.monotonically_increasing_id()))
+    units = written(keyed.join(small_side(numbered), ["doc_id", "__key"], "left").withColumn("__unit", F.coalesce("__unit", "doc_id")))
+    kept = _without_dropped(units, spaced, size, text, "__unit")
+    marked = kept.join(small_side(repeated.select("doc_id", "__rows")), "doc_id", "left")
+    first = F.row_number().over(Window.partitionBy("__unit").orderBy(*[F.col(c) for c in columns if c not in ("doc_id", text)]))
+    one = marked.filter("__rows > 1").withColumn("__place", first).filter("__place = 1")
+    return marked.filter("__rows is null").select(*columns).unionByName(one.select(*columns))
+
+
+def _without_dropped(docs: DataFrame, spaced, size: int, text: str, unit: str) -> DataFrame:
+    """``docs`` without the units that are not the smallest of their component. They are fewer than those that stay, so the texts need no shuffle as long as they can be broadcast."""
+    groups = near_groups(docs.select(F.col(unit).alias("doc_id"), F.col(text).alias("text")), spaced, size)
+    dropped = written(groups.filter("doc_id is not null and not kept").select(F.col("doc_id").alias(unit)).distinct())
+    return docs.join(small_side(dropped), unit, "left_anti")
