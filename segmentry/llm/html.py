@@ -37,8 +37,8 @@ LEAST_SHARE = 0.05
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>|<[a-zA-Z/][^>]*\Z|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math select".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+_RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg select annotation annotation-xml".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br svg annotation annotation-xml math semantics mi mn mo ms mrow mtext mspace msub msup msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mfenced menclose mtable mtr mtd mmultiscripts".split())
 _LEFT_TAGS = frozenset("nav footer aside form button head dialog menu object audio video canvas fieldset datalist".split())
 _CONTAINERS = frozenset("body main article section div td center".split())
 _KEPT_TAGS = frozenset("html body main article".split())
@@ -50,6 +50,12 @@ _LEFT_WORD = re.compile(
     r"(?:nav|navbar|navigation|menu|footer|header|masthead|topbar|sidebar|side|aside|ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|promo|promotion"
     r"|sponsor|sponsored|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommended"
     r"|recommendations|comment|comments|disqus|respond|reply|replies|discussion|breadcrumb|breadcrumbs|pagination|pager|toolbar|widget|copyright|hidden)")
+# Words that may stand beside them in a name ("post-footer", "ad-slot-1"). Beside any other word ("share-price", "side-by-side") they mark nothing inside an article.
+_BESIDE = re.compile(
+    r"(?:\d+|box|bar|block|area|unit|slot|wrap|wrapper|container|inner|outer|section|module|panel|list|links|link|items|item|buttons|button|icons|icon|text|content|top|bottom|left|right|main|global|site"
+    r"|page|post|article|entry|story|blog|news|user|users|reader|readers|form|area|thread|count|title|mobile|desktop|sticky|fixed|js|c|l|u|o|m|the|to|more|in|us|up|of|for|primary|secondary|tools|tool)")
+# Names that a section of an article may have as its subject.
+_SUBJECTS = frozenset("discussion related".split())
 # A class such as "with-sidebar" or "no-ads" describes a page, not a box.
 _ABOUT_PAGE = re.compile(r"^(?:with|has|have|no|without|is|not|single|page|layout|js)[-_]")
 _CLOSED_BY = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "p": "p"}
@@ -74,8 +80,19 @@ class Page:
     kinds: list[str] = field(default_factory=list)  # "article", "main" or empty
 
 
-def _left(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element is not part of the article, and its generalised class."""
+def _marks(tag: str, word: str, inside: bool) -> bool:
+    """Whether a class or id tells that an element is not part of the article; inside of one its whole name has to."""
+    if _ABOUT_PAGE.match(word):
+        return False
+    parts = [part for part in re.split(r"[-_]+", word) if part]
+    hits = [part for part in parts if _LEFT_WORD.fullmatch(part)]
+    if not inside or not hits:
+        return bool(hits)
+    return not (tag == "section" and word in _SUBJECTS) and all(part in hits or _BESIDE.fullmatch(part) for part in parts)
+
+
+def _left(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
+    """Whether an element is not part of the article (``inside`` one: an article or main element), and its generalised class."""
     classes, words = "", ()
     if attributes and not attributes.isspace():
         found = {(m[1] or m[3]).lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)}
@@ -87,7 +104,7 @@ def _left(tag: str, attributes: str) -> tuple[bool, str]:
         return True, classes
     if tag in _KEPT_TAGS:
         return False, classes
-    return any(_LEFT_WORD.fullmatch(part) for w in words if not _ABOUT_PAGE.match(w) for part in re.split(r"[-_]+", w)), classes
+    return any(_marks(tag, w, inside) for w in words), classes
 
 
 def read_page(source: str) -> Page:
@@ -163,10 +180,10 @@ def read_page(source: str) -> Page:
                         pop()
                     pop()
                     break
-        out, classes = _left(tag, attributes)
+        inside = any(s[0] in ("article", "main") for s in stack) if attributes or tag == "header" else False
+        out, classes = _left(tag, attributes, inside)
         head = False
         if tag == "header" or (out and "header" in classes.lower() and tag not in _LEFT_TAGS):
-            inside = any(s[0] in ("article", "main") for s in stack)
             out, head = not inside, inside
         before = container
         if tag in _CONTAINERS and not (tag == "body" and container == 0 and not page.blocks):
