@@ -9,7 +9,10 @@ the common shingles over that of the union; a window leaks the item from ``thres
 Windows without a common shingle have similarity 0 and are never formed, which is why the benchmark's shingles are
 looked up first. The fingerprint of a window covers its known shingles. ``RADIUS + 1`` blocks of bits guarantee that
 all pairs within the radius agree in a block: they meet in a join on (item length, block, bits), the distance is
-checked there, and the exact similarity afterwards. At similarity 0.8 the expected distance is 7 bits of 64.
+checked there, and the exact similarity afterwards. At similarity 0.8 the expected distance is up to 10 bits of 64 (most for windows cut at a text's
+end, with a deviation of 3), so a radius of 24 leaves none out in practice, and the tests hold the result against one without
+fingerprints. An item of fewer than five words is one shingle of its own length; its windows are the runs of so many words with that hash, at
+distance 0.
 
 Defined results: null and empty texts and null ids leak nothing (a null ``doc_id`` is reported as null if its text
 leaks); items with the same words are one, named by the smallest id; documents with the same text share a result and
@@ -27,7 +30,7 @@ from segmentry.llm.common import letter_words, shingle_hashes, small_side, text_
 SHINGLE = 5
 THRESHOLD_PERCENT = 80
 UNIT = 1000
-RADIUS = 14
+RADIUS = 24
 _EDGES = [round(64 * i / (RADIUS + 1)) for i in range(RADIUS + 2)]
 
 
@@ -53,10 +56,31 @@ def _weight(known: Column) -> Column:
     return F.aggregate(known, F.expr("0L"), lambda acc, k: acc + k["weight"])
 
 
-def benchmark_items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items (``item_id, size, known, item_weight``) and the dictionary (``sh, weight, anchors``) of a benchmark."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    """``words, item_id``: distinct word sequences with their smallest id."""
     words = benchmark.filter("item_id is not null").select("item_id", letter_words(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    items = words.groupBy("words").agg(F.min("item_id").alias("item_id"))
+    return words.groupBy("words").agg(F.min("item_id").alias("item_id"))
+
+
+def short_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame | None:
+    """``blob, item_id, similarity, start_word, n_words`` of items with fewer than five words, where there are any."""
+    items = written(_items(benchmark).filter(F.size("words") < SHINGLE).select("item_id", F.size("words").alias("size"), F.xxhash64("words").alias("sh")))
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
+    if not sizes:
+        return None
+    words = docs.select(text_key(F.col(text)).alias("blob"), letter_words(F.col(text)).alias("words"))
+
+    def runs(n: int) -> Column:
+        found = F.transform(shingle_hashes(F.col("words"), n), lambda sh, i: F.struct(F.lit(n).alias("size"), sh.alias("sh"), i.alias("pos")))
+        return F.when(F.size("words") >= n, found).otherwise(F.array().cast("array<struct<size:int,sh:bigint,pos:int>>"))
+
+    hits = words.select("blob", F.explode(F.concat(*[runs(n) for n in sizes])).alias("r")).select("blob", "r.*").join(small_side(items), ["size", "sh"])
+    return hits.groupBy("blob", "item_id").agg(F.lit(1.0).alias("similarity"), F.min("pos").alias("start_word"), F.first("size").alias("n_words"))
+
+
+def benchmark_items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items of five words or more (``item_id, size, known, item_weight``) and the dictionary (``sh, weight, anchors``) of a benchmark."""
+    items = _items(benchmark).filter(F.size("words") >= SHINGLE)
     places = written(items.select("item_id", F.size("words").alias("size"), F.posexplode(shingle_hashes(F.col("words"), SHINGLE)).alias("o", "sh")))
     counts = places.groupBy("sh").agg(F.count_distinct("item_id").alias("df"), F.collect_set(F.struct("size", "o")).alias("anchors"))
     dictionary = written(counts.select("sh", F.greatest(F.expr(f"{UNIT} div df"), F.expr("1L")).alias("weight"), "anchors"))
@@ -104,7 +128,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
     pairs = pairs.withColumn("union", F.col("both") - F.col("shared")).filter(F.expr("100L") * F.col("shared") >= F.lit(THRESHOLD_PERCENT) * F.col("union"))
     score = F.round(F.col("shared") / F.col("union"), 6)
     best = pairs.groupBy("blob", "item_id").agg(F.max(F.struct(score.alias("similarity"), (-F.col("start")).alias("back"), (F.col("end") - F.col("start")).alias("n_words"))).alias("w"))
-    return best.select("blob", "item_id", "w.similarity", (-F.col("w.back")).alias("start_word"), "w.n_words")
+    long = best.select("blob", "item_id", "w.similarity", (-F.col("w.back")).alias("start_word"), "w.n_words")
+    short = short_leaks(docs, benchmark, text)
+    return long if short is None else long.unionByName(short)
 
 
 def leaked_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -108,7 +108,11 @@ def _leaf(n_chars: str) -> str:
 
 ORACLES = {
     "op1_decontamination": f"""
-with items as (select min(item_id) as item_id, ws from (select item_id, {_LETTER_WORDS} as ws from benchmark where item_id is not null) where ws is not null group by ws),
+with every as (select min(item_id) as item_id, ws from (select item_id, {_LETTER_WORDS} as ws from benchmark where item_id is not null) where ws is not null group by ws),
+items as (select * from every where len(ws) >= 5), few as (select * from every where len(ws) < 5),
+runs as (select doc_id, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: {{'p': i - 1, 's': ws[i:i + n - 1]}})) as x
+ from (select doc_id, {_LETTER_WORDS} as ws from documents), (select distinct len(ws) as n from few)),
+shorts as (select doc_id, item_id, 1.0::DOUBLE as similarity, min(x.p)::INTEGER as start_word, any_value(n)::INTEGER as n_words from runs join few on few.ws = x.s group by doc_id, item_id),
 ip as (select item_id, len(ws) as size, unnest({_places(5)}) as x from items),
 ish as (select item_id, size, x.p as o, x.s as s from ip),
 dict as (select s, greatest(1000 // count(distinct item_id), 1) as w from ish group by s),
@@ -126,7 +130,7 @@ scored as (select doc_id, st, en, item_id, shared, known + (greatest(en - st - 4
  from shared join known using (doc_id, st, en, size) join cnt using (doc_id, st, en, size) join iw using (item_id)),
 ranked as (select *, round(shared::DOUBLE / u::DOUBLE, 6) as similarity, row_number() over (partition by doc_id, item_id order by round(shared::DOUBLE / u::DOUBLE, 6) desc, st, en - st desc) as r
  from scored where 100 * shared >= 80 * u)
-select doc_id, item_id, similarity, st as start_word, en - st as n_words from ranked where r = 1
+select doc_id, item_id, similarity, st as start_word, en - st as n_words from ranked where r = 1 union all select * from shorts
 """,
     "op3_exact_top_k": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) as v from embeddings
