@@ -12,7 +12,7 @@ Queries with equal vectors are answered once. Blocks are bounded, and each pair
 Defined results: vectors that are null or hold a null or non-finite component, and rows without an id, take no part;
 vectors of different lengths are not compared; ids that repeat count once, with their smallest vector; ties go to
 the smaller id; fewer candidates than k give fewer rows; an empty table gives an empty result; extra columns are ignored.
-Components have to stay below 2^24 in size after scaling.
+A component beyond 2^53 in size after scaling counts as 2^53, and a score beyond the range of a long as the end of that range.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from segmentry.llm.common import written
 
 CELLS = 128
+LARGEST = 1 << 53
 ROW_BLOCK = 2048
 QUERY_BLOCK = 1024
 # Exact vectors that are read for a query before the rest is judged by their k-th score, as a multiple of k.
@@ -38,7 +39,12 @@ def integer_vectors(vectors: DataFrame, vec_id: str, embedding: str, scale: int)
     """``vec_id, v``: one integer vector for each id that takes part."""
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).alias("e")).filter("vec_id is not null and e is not null")
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return rows.filter(finite).groupBy("vec_id").agg(F.min(F.transform("e", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("int"))).alias("v"))
+    most = F.lit(float(LARGEST))
+
+    def whole(x: Column) -> Column:
+        return F.greatest(F.least(F.floor(F.greatest(F.least(F.lit(float(scale)) * x.cast("double"), most), -most)), F.lit(LARGEST)), F.lit(-LARGEST)).cast("bigint")
+
+    return rows.filter(finite).groupBy("vec_id").agg(F.min(F.transform("e", whole)).alias("v"))
 
 
 def vector_classes(rows: DataFrame, k: int) -> DataFrame:
@@ -73,6 +79,10 @@ def _coded(classes: DataFrame, bounds: dict) -> DataFrame:
     return classes.select("class_id", "v", F.size("v").alias("length")).mapInArrow(code, "class_id bigint, length int, cells binary")
 
 
+def _long(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, -(2.0**63), 2.0**63 - 1024).astype(np.int64)
+
+
 def _pairs_of_blocks(rows: DataFrame, n_rows: int, queries: DataFrame, n_queries: int) -> DataFrame:
     """Every block of rows with every block of queries of the same length, by a join on the block of rows."""
     row_blocks, query_blocks = -(-n_rows // ROW_BLOCK), -(-n_queries // QUERY_BLOCK)
@@ -95,23 +105,31 @@ def _scan(pairs: DataFrame, bounds: dict, k: int, lower: bool) -> DataFrame:
                 d = np.arange(length)
                 near, far = low[d, cells], high[d, cells]
                 up, down = np.maximum(q, 0).T, np.minimum(q, 0).T
+                # Sums of whole numbers are exact below 2^53; beyond, bounds make room for what rounding can take.
+                reach = np.maximum(np.abs(near), np.abs(far)).max(axis=1, initial=0)[:, None] * np.abs(q).sum(axis=1)[None, :]
+                room = np.where(reach < 2.0**52, 0.0, reach * (length + 4) * 2.0**-50)
                 if lower:
-                    least = near @ up + far @ down
+                    least = near @ up + far @ down - room
                     best = least if len(ids) <= k else np.partition(least, len(ids) - k, axis=0)[len(ids) - k:]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, len(best))), pa.array(best.T.ravel().astype(np.int64))], names=["query", "bound"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, len(best))), pa.array(_long(best.T.ravel()))], names=["query", "bound"])
                 else:
-                    most = far @ up + near @ down
+                    most = far @ up + near @ down + room
                     floor = np.array([-np.inf if f is None else f for f in queries.field("floor").to_pylist()])
                     j, i = np.nonzero((most >= floor).T)
-                    yield pa.RecordBatch.from_arrays([pa.array(asked[j]), pa.array(ids[i]), pa.array(most[i, j].astype(np.int64))], names=["query", "class_id", "bound"])
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[j]), pa.array(ids[i]), pa.array(_long(most[i, j]))], names=["query", "class_id", "bound"])
 
     return pairs.select("length", "rows", "queries").mapInArrow(scan, "query bigint, bound bigint" if lower else "query bigint, class_id bigint, bound bigint")
 
 
-def _exact(candidates: DataFrame, classes: DataFrame) -> DataFrame:
-    """``query, class_id, score`` from the vectors themselves."""
+def _exact(candidates: DataFrame, classes: DataFrame, wide: bool) -> DataFrame:
+    """``query, class_id, score`` from the vectors themselves; ``wide`` where a score may leave the range of a long."""
     read = candidates.join(classes.select("class_id", F.col("v").alias("b")), "class_id").join(classes.select(F.col("class_id").alias("query"), F.col("v").alias("a")), "query")
-    product = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("bigint") * y), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    if wide:
+        terms = F.zip_with("a", "b", lambda x, y: (x.cast("decimal(18,0)") * y.cast("decimal(18,0)")).cast("decimal(38,0)"))
+        total = F.aggregate(terms, F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + x).cast("decimal(38,0)"))
+        product = F.greatest(F.least(total, F.lit((1 << 63) - 1).cast("decimal(38,0)")), F.lit(-(1 << 63)).cast("decimal(38,0)")).cast("bigint")
+    else:
+        product = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return read.select("query", "class_id", product.alias("score"))
 
 
@@ -123,6 +141,7 @@ def top_inner_products(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "
     member = written(asking.join(classes.select("v", "class_id"), "v").select(F.col("vec_id").alias("query_id"), F.col("class_id").alias("query")))
     wanted = k + 1  # the query itself may be among the best
     bounds = _cell_bounds(classes)
+    wide = any(max(abs(low.min(initial=0)), high.max(initial=0)) ** 2 * length >= 2.0**62 for length, (low, high) in bounds.items())
     coded = written(_coded(classes, bounds))
     queries = written(member.select(F.col("query").alias("class_id")).distinct().join(classes, "class_id").select("class_id", "v", F.size("v").alias("length"), F.lit(None).cast("bigint").alias("floor")))
     n_rows, n_queries = coded.count(), queries.count()
@@ -136,11 +155,11 @@ def top_inner_products(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "
     in_order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "class_id"))
     first = found.withColumn("rank", in_order).filter(F.col("rank") <= FIRST_READ * wanted)
     first = written(first.select("query", "class_id"))
-    scored = written(_exact(first, classes))
+    scored = written(_exact(first, classes, wide))
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "class_id"))
     certain = scored.withColumn("rank", best).filter(F.col("rank") == wanted).select("query", F.col("score").alias("reached"))
     rest = found.join(certain, "query").filter(F.col("bound") >= F.col("reached")).select("query", "class_id").join(first, ["query", "class_id"], "left_anti")
-    top = scored.unionByName(_exact(rest, classes)).withColumn("rank", best).filter(F.col("rank") <= wanted)
+    top = scored.unionByName(_exact(rest, classes, wide)).withColumn("rank", best).filter(F.col("rank") <= wanted)
 
     named = top.join(classes.select("class_id", "ids"), "class_id").select("query", "score", F.explode("ids").alias("vec_id"))
     answers = member.join(written(named), "query").filter(F.col("vec_id") != F.col("query_id"))
