@@ -62,7 +62,9 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None, rules: dict = RUL
 def blob_spans(ledger: DataFrame, rules: dict = RULES) -> DataFrame:
     """``blob, found``: the spans (start, kind, end) of each content that has any, by start and then kind."""
     least = F.element_at(F.array(*[F.lit(n) for _, _, n in rules.values()]), F.col("kind") + 1)
-    steps = ledger.filter(F.size("hits") > 0).select("blob", F.inline("hits"))
+    # Runs side by side, or a run repeated after a late failure, can leave a content in the ledger more than once.
+    once = ledger.filter(F.size("hits") > 0).groupBy("blob").agg(F.first("hits").alias("hits"))
+    steps = once.select("blob", F.inline("hits"))
     reach = F.sum("reach").over(Window.partitionBy("blob", "kind").orderBy("i"))
     spans = steps.withColumn("end", reach).filter(F.col("counted") >= least).select("blob", F.struct((F.col("end") - F.col("size")).alias("start"), "kind", "end").alias("span"))
     return spans.groupBy("blob").agg(F.sort_array(F.collect_list("span")).alias("found"))
