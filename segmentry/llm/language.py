@@ -4,7 +4,7 @@ A text in lower case is cut into windows of ``WINDOW`` bytes, all of them. Filte
 window (a filter over one-hot bytes is a table of weights per offset and byte), each keeps its largest response, and a
 softmax over these gives the languages. A text's prediction is the mean of its windows' probabilities, weighted by
 their bytes. The network is trained in numpy on at most ``TRAIN_TEXTS`` labelled texts, drawn evenly over the languages
-by a hash of their ids, of which ``TRAIN_WINDOWS`` excerpts spread over the text are used; predictions read whole texts.
+by a hash of their ids; training and predictions read whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; if nothing is labelled every text is
 ``und``; repeated rows get equal predictions; ties between languages go to the first by name; an empty table gives
@@ -28,8 +28,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 REACH = WIDTHS[-1]
 FILTERS = 16
-TRAIN_TEXTS = 2400
-TRAIN_WINDOWS = 3
+TRAIN_TEXTS = 1000
 EPOCHS = 5
 BATCH = 32
 NONE = "und"
@@ -123,7 +122,7 @@ def byte_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def training_texts(docs: DataFrame, label: str = "lang", limit: int = TRAIN_TEXTS) -> list:
-    """At most ``limit`` rows (label, excerpts) of labelled texts outside the held-out part, drawn evenly over the labels."""
+    """At most ``limit`` rows (label, text) of labelled texts outside the held-out part, drawn evenly over the labels."""
     from pyspark.sql.window import Window
 
     labelled = docs.select("doc_id", "text", label).filter(F.col(label).isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
@@ -134,9 +133,7 @@ def training_texts(docs: DataFrame, label: str = "lang", limit: int = TRAIN_TEXT
         return []
     rate = F.element_at(F.create_map(*[F.lit(x) for kv in rates.items() for x in kv]), F.col(label))
     order = draw(22, "doc_id", "text")
-    step = F.greatest(F.floor(F.length("text") / TRAIN_WINDOWS), F.lit(WINDOW)).cast("int")
-    excerpts = F.array(*[F.substring(F.col("text"), step * i + 1, F.lit(WINDOW)) for i in range(TRAIN_WINDOWS)])
-    chosen = labelled.withColumn("order", order).filter(F.col("order") < rate).select(F.col(label).alias("label"), excerpts.alias("excerpts"), "order")
+    chosen = labelled.withColumn("order", order).filter(F.col("order") < rate).select(F.col(label).alias("label"), "text", "order")
     return chosen.orderBy("order", "label").limit(limit).collect()
 
 
@@ -145,10 +142,10 @@ def train(docs: DataFrame) -> ByteNetwork | None:
     languages = sorted({r["label"] for r in rows})
     if not languages:
         return None
-    pairs = [(e, languages.index(r["label"])) for r in rows for e in r["excerpts"] if e]
+    pairs = [(r["text"], languages.index(r["label"])) for r in rows if r["text"]]
     network = ByteNetwork.untrained(languages)
     if pairs:
-        x, owner, _ = byte_windows([e for e, _ in pairs])
+        x, owner, _ = byte_windows([t for t, _ in pairs])
         network.fit(x, np.array([y for _, y in pairs])[owner])
     return network
 

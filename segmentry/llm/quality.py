@@ -4,8 +4,7 @@ A text is a bag of passages of ``PASSAGE`` bytes, all of them. A passage is desc
 bytes, the shares of pairs of neighbouring classes, and the share of distinct four-byte runs, and encoded by a dense
 layer. Gated attention (the product of a tanh and a sigmoid layer) weighs the passages of a text; the weighted sum of
 their encodings gives the text's score. All weights are learnt together from labels of texts, in numpy, on at most
-``TRAIN_TEXTS`` labelled rows, drawn evenly over the labels by a hash of their ids; a bag used for training has at most
-``TRAIN_PASSAGES`` passages, spread over the text. Scores read whole texts.
+``TRAIN_TEXTS`` labelled rows, drawn evenly over the labels by a hash of their ids. Training and scores read whole texts.
 
 Defined results: null and empty texts are one empty passage and are scored like others; if only one label is known every
 score is that label, and 0.5 if none is; a document with several labels takes part with each; repeated rows
@@ -28,7 +27,6 @@ PASSAGE = 512
 HIDDEN = 24
 GATE = 12
 TRAIN_TEXTS = 2400
-TRAIN_PASSAGES = 12
 EPOCHS = 30
 BATCH = 64
 ACCEPTED = 0.7
@@ -42,14 +40,12 @@ for _g, _chars in enumerate(_GROUPS):
 FEATURES = CLASSES + CLASSES * CLASSES + 2
 
 
-def passages(texts: list[str | None], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the passages (rows), and the text each belongs to. ``most`` keeps that many, evenly spread."""
+def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the passages (rows), and the text each belongs to."""
     pieces, owner = [], []
     for i, text in enumerate(texts):
         coded = (text or "").encode("utf-8", "replace")
         starts = range(0, max(len(coded), 1), PASSAGE)
-        if most is not None and len(starts) > most:
-            starts = [starts[k * len(starts) // most] for k in range(most)]
         pieces += [coded[s:s + PASSAGE] for s in starts]
         owner += [i] * len(starts)
     x = np.frombuffer(b"".join(p.ljust(PASSAGE, b"\0") for p in pieces), dtype=np.uint8).reshape(-1, PASSAGE)
@@ -130,7 +126,7 @@ class GatedBags:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = TRAIN_TEXTS) -> list:
-    """At most ``limit`` rows (label, text excerpts) outside the held-out part, half of each label where there are enough."""
+    """At most ``limit`` rows (label, text) outside the held-out part, half of each label where there are enough."""
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("label"))
     counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if len(counts) < 2:
@@ -138,10 +134,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str = "quality", l
     order = draw(55, "doc_id")
     rate = F.when(F.col("label") == 1, F.lit(limit / 2 / counts[1])).otherwise(F.lit(limit / 2 / counts[0]))
     chosen = known.distinct().withColumn("order", order).filter(F.col("order") < rate).orderBy("order", "doc_id", "label").limit(limit)
-    size = F.length("text")
-    spread = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_PASSAGES - 1)), lambda i: F.substring(F.col("text"), F.floor(size * i / TRAIN_PASSAGES).cast("int") + 1, F.lit(PASSAGE)))
-    excerpts = F.when(size <= TRAIN_PASSAGES * PASSAGE, F.array("text")).otherwise(spread)
-    return docs.select("doc_id", "text").filter("text is not null").join(small_side(chosen), "doc_id").select("label", excerpts.alias("excerpts"), "order", "doc_id").orderBy("order", "doc_id").limit(limit).collect()
+    return docs.select("doc_id", "text").filter("text is not null").join(small_side(chosen), "doc_id").select("label", "text", "order", "doc_id").orderBy("order", "doc_id").limit(limit).collect()
 
 
 def train(docs: DataFrame, labels: DataFrame) -> GatedBags | float:
@@ -150,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame) -> GatedBags | float:
     kinds = {r[0] for r in rows}
     if len(kinds) < 2:
         return float(kinds.pop()) if kinds else 0.5
-    bags = [passages(list(r["excerpts"]), TRAIN_PASSAGES if len(r["excerpts"]) == 1 else 1)[0] for r in rows]
+    bags = [passages([r["text"]])[0] for r in rows]
     x = np.concatenate(bags)
     starts = np.cumsum([0, *(len(b) for b in bags[:-1])])
     model = GatedBags.untrained(x)
