@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from segmentry.operators.graph import connected_components
 from segmentry.operators.order import exact_quantiles, positions, running_counts, value_counts
-from segmentry.operators.pairs import distance_summary, eps_forest, nearest_core_cluster, self_knn
+from segmentry.operators.pairs import eps_counts, eps_forest, nearest_core_cluster, self_knn
 from segmentry.session import cut_lineage
 
 NOISE = -1
@@ -36,7 +36,7 @@ def dbscan(df: DataFrame, eps: float, min_samples: int = 20) -> DataFrame:
     per-cell star edges, never through a list of close pairs. A border row takes the lowest-numbered cluster in reach.
     """
     rows = df.select("row_id", "v")
-    counts = distance_summary(rows, eps)
+    counts = eps_counts(rows, eps)
     core = cut_lineage(rows.join(counts.filter(F.col("within") + 1 >= min_samples), "row_id", "left_semi"))
     linked = connected_components(eps_forest(core, eps), core)
     roots = positions(linked.select("component").distinct(), "component")

@@ -3,8 +3,10 @@
 Rows are hashed into blocks of bounded size. Every pair of blocks is one cell, which receives the rows of its two
 blocks through an ordinary grouped shuffle; numpy turns the cell into small partial results (sums per row and
 cluster, nearest neighbours, a spanning forest), which Spark then combines. No pair leaves a task.
-The work is quadratic in rows by nature, so at cluster scale these run on an evaluation sample or on
-many cells at once; the result is exact for the rows given.
+Measures over all distances (sums, diameters) are quadratic in rows by nature, so at cluster scale these run on an
+evaluation sample or on many cells at once. What only close pairs decide (nearest neighbours, rows within a radius, spanning
+trees) goes through the ball index of ``balls`` for tables above ``PLAIN_ROWS``, where cells without a close pair do not
+exist. Either way the result is exact for the rows given.
 """
 
 from __future__ import annotations
@@ -18,8 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from segmentry.functions.vectors import distances, matrix
+from segmentry.operators import balls
 
 BLOCK_ROWS = 1024
+# Tables up to this size are compared block by block, as building an index costs more than it leaves out.
+PLAIN_ROWS = 4096
 # Query sets up to this size travel to every task; larger ones go through cells.
 BROADCAST_BYTES = 64 << 20
 
@@ -42,9 +47,9 @@ class Side:
 Kernel = Callable[[Side, Side | None], dict[str, np.ndarray]]
 
 
-def block_count(df: DataFrame, block_rows: int = BLOCK_ROWS) -> int:
+def block_count(df: DataFrame, block_rows: int = BLOCK_ROWS, rows: int | None = None) -> int:
     """Blocks of about ``block_rows`` rows, and enough of them to keep every core busy."""
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     cores = df.sparkSession.sparkContext.defaultParallelism
     busy = int(np.ceil(np.sqrt(2 * cores)))
     return max(1, int(np.ceil(rows / block_rows)), min(busy, rows // 64))
@@ -65,6 +70,10 @@ def cell_map(df: DataFrame, kernel: Kernel, schema: str, keep: Sequence[str] = (
     placed = placed.select(
         "row_id", "v", *keep, F.least("__b", "__o").alias("__i"), F.greatest("__b", "__o").alias("__j"),
         (F.col("__b") > F.col("__o")).cast("int").alias("__side"))
+    return _run_cells(placed, kernel, schema)
+
+
+def _run_cells(placed: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
     names = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(cell: pa.Table) -> pa.Table:
@@ -77,6 +86,15 @@ def cell_map(df: DataFrame, kernel: Kernel, schema: str, keep: Sequence[str] = (
     return placed.groupBy("__i", "__j").applyInArrow(run, schema)
 
 
+def close_map(df: DataFrame, kernel: Kernel, schema: str, eps: float, keep: Sequence[str] = (), diagonal: bool = True) -> DataFrame:
+    """``cell_map`` for kernels that only pairs within ``eps`` matter to."""
+    count = df.count()
+    if count <= PLAIN_ROWS:
+        return cell_map(df, kernel, schema, keep, diagonal, block_count(df, rows=count))
+    index = balls.build(df, keep, BLOCK_ROWS, count)
+    return _run_cells(balls.cells(index, keep, *balls.within(eps)), kernel, schema)
+
+
 def _both_ways(left: Side, right: Side | None) -> Iterator[tuple[Side, Side, np.ndarray, bool]]:
     """(rows, others, distance block, same block) seen from each side of a cell."""
     if right is None:
@@ -87,6 +105,16 @@ def _both_ways(left: Side, right: Side | None) -> Iterator[tuple[Side, Side, np.
         yield right, left, d.T, False
 
 
+def _inside(a: np.ndarray, b: np.ndarray, d: np.ndarray, eps: float) -> np.ndarray:
+    """``d <= eps``, with distances that rounding may have put on either side taken anew from the differences."""
+    inside = d <= eps
+    row, col = np.nonzero(np.abs(d - eps) <= 1e-6 * eps)
+    for start in range(0, len(row), 65536):
+        i, j = row[start : start + 65536], col[start : start + 65536]
+        inside[i, j] = np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1)) <= eps
+    return inside
+
+
 def _stack(parts: list[dict[str, np.ndarray]], types: dict[str, type]) -> dict[str, np.ndarray]:
     return {c: np.concatenate([p[c] for p in parts]).astype(t) if parts else np.array([], dtype=t) for c, t in types.items()}
 
@@ -145,10 +173,18 @@ def self_knn(df: DataFrame, k: int, include_self: bool = True) -> DataFrame:
             i, j = _first_k(d, k)
             value = d[i, j]
             real = np.isfinite(value)
+            if "__tau" in rows.extra:
+                real &= value <= rows.extra["__tau"][i] * (1 + balls.SLACK)
             parts.append({"row_id": rows.ids[i][real], "neighbour": others.ids[j][real], "distance": value[real]})
         return _stack(parts, {"row_id": np.int64, "neighbour": np.int64, "distance": np.float64})
 
-    parts = cell_map(df, kernel, "row_id bigint, neighbour bigint, distance double")
+    schema, count = "row_id bigint, neighbour bigint, distance double", df.count()
+    if count <= PLAIN_ROWS:
+        parts = cell_map(df, kernel, schema, blocks=block_count(df, rows=count))
+    else:
+        index = balls.build(df, (), BLOCK_ROWS, count)
+        bounded, reach = balls.neighbour_reach(index, k, include_self)
+        parts = _run_cells(balls.cells(index, ["__tau"], *reach, rows=bounded), kernel, schema)
     return _merge_neighbours(parts, ["row_id"], k)
 
 
@@ -191,11 +227,20 @@ def _query_everywhere(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
                 continue
             x, names = matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
             order = np.argsort(names, kind="stable")
-            names = names[order]
-            d = np.concatenate([best_d, distances(points, x[order])], axis=1)
-            who = np.concatenate([best_i, np.broadcast_to(names, (len(ids), len(names)))], axis=1)
-            keep = np.lexsort((who, d), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(d, keep, 1), np.take_along_axis(who, keep, 1)
+            x, names = x[order], names[order]
+            width = min(k, best_d.shape[1] + len(names))
+            new_d, new_i = np.empty((len(ids), width)), np.empty((len(ids), width), dtype=np.int64)
+            step = max(1, balls.BLOCK_NUMBERS // len(names))
+            for start in range(0, len(ids), step):
+                part = slice(start, start + step)
+                d = distances(points[part], x)
+                i, j = _first_k(d, k)
+                few = min(k, len(names))
+                d, who = d[i, j].reshape(-1, few), names[j].reshape(-1, few)
+                d, who = np.concatenate([best_d[part], d], axis=1), np.concatenate([best_i[part], who], axis=1)
+                keep = np.lexsort((who, d), axis=1)[:, :k]
+                new_d[part], new_i[part] = np.take_along_axis(d, keep, 1), np.take_along_axis(who, keep, 1)
+            best_d, best_i = new_d, new_i
         if best_d.size:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(ids, best_d.shape[1])), pa.array(best_i.ravel()), pa.array(best_d.ravel())], names=["query_id", "neighbour", "distance"])
@@ -251,6 +296,16 @@ def distance_summary(df: DataFrame, eps: float | None = None) -> DataFrame:
         F.try_divide(F.sum("total"), F.sum("others")).alias("mean_distance"), F.sum("within").alias("within"))
 
 
+def eps_counts(df: DataFrame, eps: float) -> DataFrame:
+    """``row_id, within``: other rows within ``eps`` of each row."""
+
+    def kernel(left: Side, right: Side | None) -> dict[str, np.ndarray]:
+        parts = [{"row_id": rows.ids, "within": _inside(rows.x, others.x, d, eps).sum(axis=1) - same} for rows, others, d, same in _both_ways(left, right)]
+        return _stack(parts, {"row_id": np.int64, "within": np.int64})
+
+    return close_map(df, kernel, "row_id bigint, within bigint", eps).groupBy("row_id").agg(F.sum("within").alias("within"))
+
+
 def separation(df: DataFrame, candidates: Sequence[str] = ("cluster",)) -> DataFrame:
     """``candidate, max_diameter, min_separation``: largest distance inside and smallest between clusters, per labeling.
 
@@ -324,11 +379,11 @@ def eps_forest(df: DataFrame, eps: float) -> DataFrame:
         ids = left.ids if right is None else np.concatenate([left.ids, right.ids])
         order = np.argsort(ids)
         ids, x = ids[order], x[order]
-        root = _components(distances(x, x) <= eps) if len(ids) else np.array([], dtype=np.int64)
+        root = _components(_inside(x, x, distances(x, x), eps)) if len(ids) else np.array([], dtype=np.int64)
         inner = root != np.arange(len(ids))
         return {"a_id": ids[root[inner]], "b_id": ids[inner]}
 
-    return cell_map(df, kernel, "a_id bigint, b_id bigint", diagonal=False).distinct()
+    return close_map(df, kernel, "a_id bigint, b_id bigint", eps, diagonal=False).distinct()
 
 
 def nearest_core_cluster(df: DataFrame, eps: float) -> DataFrame:
@@ -338,37 +393,21 @@ def nearest_core_cluster(df: DataFrame, eps: float) -> DataFrame:
         parts = []
         for rows, others, d, _ in _both_ways(left, right):
             labels = others.extra["cluster"]
-            reach = np.where((d <= eps) & (labels >= 0)[None, :], labels[None, :], np.iinfo(np.int64).max)
+            reach = np.where(_inside(rows.x, others.x, d, eps) & (labels >= 0)[None, :], labels[None, :], np.iinfo(np.int64).max)
             best = reach.min(axis=1)
             hit = (rows.extra["cluster"] < 0) & (best < np.iinfo(np.int64).max)
             parts.append({"row_id": rows.ids[hit], "border": best[hit]})
         return _stack(parts, {"row_id": np.int64, "border": np.int64})
 
-    parts = cell_map(df, kernel, "row_id bigint, border bigint", ["cluster"])
+    parts = close_map(df, kernel, "row_id bigint, border bigint", eps, ["cluster"])
     return parts.groupBy("row_id").agg(F.min("border").alias("border"))
 
 
-def _prim(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of a minimum spanning tree of a dense graph."""
-    n = len(w)
-    best, parent = w[0].copy(), np.zeros(n, dtype=np.int64)
-    outside = np.ones(n, dtype=bool)
-    outside[0] = False
-    a, b, weight = np.empty(n - 1, np.int64), np.empty(n - 1, np.int64), np.empty(n - 1)
-    for step in range(n - 1):
-        j = int(np.argmin(np.where(outside, best, np.inf)))
-        a[step], b[step], weight[step] = parent[j], j, best[j]
-        outside[j] = False
-        closer = w[j] < best
-        best = np.where(closer, w[j], best)
-        parent = np.where(closer, j, parent)
-    return a, b, weight
-
-
 def spanning_candidates(df: DataFrame, core: str | None = None) -> DataFrame:
     """``a_id, b_id, weight``: the spanning tree of every cell; together they hold a tree of the whole graph.
 
-    By the cycle property an edge outside its cell's tree is in no need of the global one. With ``core``
+    By the cycle property an edge outside its cell's tree is in no need of the global one; cells whose pairs are all heavier
+    than a path that links them anyway do not exist. With ``core``
     (a core-distance column) the weight is the mutual reachability distance.
     """
     keep = [core] if core else []
@@ -384,10 +423,15 @@ def spanning_candidates(df: DataFrame, core: str | None = None) -> DataFrame:
         if core:
             reach = np.concatenate([s.extra[core] for s in sides])[order]
             w = np.maximum(w, np.maximum(reach[:, None], reach[None, :]))
-        a, b, weight = _prim(w)
+        a, b, weight = balls.dense_tree(w)
         return {"a_id": np.minimum(ids[a], ids[b]), "b_id": np.maximum(ids[a], ids[b]), "weight": weight}
 
-    parts = cell_map(df, kernel, "a_id bigint, b_id bigint, weight double", keep, diagonal=False)
+    schema, count = "a_id bigint, b_id bigint, weight double", df.count()
+    if count <= PLAIN_ROWS:
+        parts = cell_map(df, kernel, schema, keep, diagonal=False, blocks=block_count(df, rows=count))
+    else:
+        index = balls.build(df, keep, BLOCK_ROWS, count)
+        parts = _run_cells(balls.cells(index, keep, *balls.tree_reach(index, core)), kernel, schema)
     return parts.groupBy("a_id", "b_id").agg(F.min("weight").alias("weight"))
 
 

@@ -62,7 +62,7 @@ def d7q(spark, d):
 
 @query("d8_eps_neighbours", f"WITH {PAIRS} SELECT v.row_id, count(p.b) + 1 AS neighbours FROM v_vec v LEFT JOIN p ON p.a = v.row_id AND d <= 1.25 GROUP BY 1")
 def d8(spark, d):
-    return pairs.distance_summary(fx.v_vec(spark, d), 1.25).select("row_id", (F.col("within") + 1).alias("neighbours"))
+    return pairs.eps_counts(fx.v_vec(spark, d), 1.25).select("row_id", (F.col("within") + 1).alias("neighbours"))
 
 
 @query("d9_cluster_gaps", f"WITH {PAIRS} SELECT ca::BIGINT AS cluster_a, cb::BIGINT AS cluster_b, {r('min(d)')} AS distance FROM p WHERE ca < cb GROUP BY 1, 2")
