@@ -21,6 +21,7 @@ from segmentry.plans.registry import query, r
 from segmentry.plans.table_queries import LABEL_LIST, _event_order, scores
 from segmentry.session import cut_lineage, stage_path
 from segmentry.sources import tables as src
+from segmentry.sources.model_registry import append_record
 
 SEED = 42
 
@@ -737,8 +738,35 @@ def p4(spark, d):
 def p5(spark, d):
     rows = labelled(spark, d)
     facts = src.fingerprint(rows.select("row_id", "cluster"))
-    record = facts.select(F.lit("centroids").alias("model"), F.struct("rows", "hash_sum", "hash_xor").alias("data"), F.date_format(F.current_timestamp(), "yyyy-MM-dd").alias("created"))
-    return src.write_manifest(record, stage_path(spark, "registry")).select("model", "data.rows", "data.hash_xor")
+    record = facts.select(F.lit("centroids").alias("model"), F.struct("rows", "hash_sum", "hash_xor").alias("data"))
+    path = stage_path(spark, "registry")
+    append_record(record, path, expected=0)
+    return append_record(record, path, expected=0).select("model", "data.rows", "data.hash_xor")
+
+
+@query("p5_registry_versions", f"""WITH {fx.V_VEC}, h AS (SELECT cluster, ('0x' || substr(sha256(row_id::VARCHAR || '|' || cluster::VARCHAR), 1, 15))::BIGINT AS h FROM v_vec)
+  SELECT 'centroids' AS model, 1 AS version, count(*) AS rows, bit_xor(h) AS hash_xor FROM h UNION ALL SELECT 'centroids', 2, count(*), bit_xor(h) FROM h WHERE cluster > 0""")
+def p5v(spark, d):
+    """A model, its successor on other rows, and the successor once more, as a retried job would append it."""
+    rows, path = labelled(spark, d).select("row_id", "cluster"), stage_path(spark, "registry")
+    for part, latest in ((rows, 0), (rows.filter("cluster > 0"), 1), (rows.filter("cluster > 0"), 1)):
+        held = append_record(src.fingerprint(part).withColumn("model", F.lit("centroids")), path, expected=latest)
+    return held.select("model", "version", "rows", "hash_xor")
+
+
+@query("p4_result_gate", f"""WITH {fx.V_VEC}, {fx.V_BUNDLE}, z AS (SELECT cluster, count(*) AS n FROM v_vec GROUP BY 1), b AS (SELECT candidate, count(*) AS n, count(DISTINCT row_id) AS u FROM v_bundle GROUP BY 1)
+  SELECT 'sizes.cover_all' AS "check", (sum(n) - (SELECT count(*) FROM embeddings))::DOUBLE AS observed, sum(n) = (SELECT count(*) FROM embeddings) AS passed FROM z
+  UNION ALL SELECT 'sizes.smallest', min(n)::DOUBLE, min(n) > 0 FROM z UNION ALL SELECT 'labelings.unique', (count(DISTINCT candidate) - count(*))::DOUBLE, count(DISTINCT candidate) = count(*) FROM b
+  UNION ALL SELECT 'labelings.rows_once', max(n - u)::DOUBLE, max(n - u) = 0 FROM b UNION ALL SELECT 'labelings.rows_alike', (max(n) - min(n))::DOUBLE, max(n) = min(n) FROM b""")
+def p4r(spark, d):
+    """Result tables hang together: sizes add up to the rows, labelings are unique and cover the same rows once."""
+    seen, rows = F.col("observed"), src.table(spark, d, "embeddings").count()
+    sizes = labelled(spark, d).groupBy("cluster").agg(F.count("*").alias("n"))
+    per = fx.v_bundle(spark, d).groupBy("candidate").agg(F.count("*").alias("n"), F.count_distinct(F.col("row_id")).alias("u"))
+    return monitoring.enforce(monitoring.result_gate({
+        "sizes": (sizes, {"cover_all": (F.sum("n") - rows, seen == 0), "smallest": (F.min("n"), seen > 0)}),
+        "labelings": (per, {"unique": (F.count_distinct(F.col("candidate")) - F.count("*"), seen == 0), "rows_once": (F.max(F.col("n") - F.col("u")), seen == 0),
+                            "rows_alike": (F.max("n") - F.min("n"), seen == 0)})}))
 
 
 # --- Flagship -------------------------------------------------------------------------------------
