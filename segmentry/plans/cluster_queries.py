@@ -18,7 +18,7 @@ from segmentry.plans import fixtures as fx
 from segmentry.plans.fixtures import draw_sql, uniform_sql
 from segmentry.plans.lloyd_sql import lloyd_ctes
 from segmentry.plans.registry import query, r
-from segmentry.plans.table_queries import LABEL_LIST, _event_order, scores
+from segmentry.plans.table_queries import LABEL_LIST, _FALLING, _event_order, knee_sql, scores
 from segmentry.session import cut_lineage, stage_path
 from segmentry.sources import tables as src
 from segmentry.sources.model_registry import append_record
@@ -501,6 +501,14 @@ def n12(spark, d):
     return selection.choose_k(k_scores(spark, d), ordering.lead_one_se(gaps(spark, d))).select("silhouette_best", "gap_one_se")
 
 
+@query("n12_elbow_knee", f"""WITH {_FALLING}, {knee_sql('c2')} SELECT knee AS elbow_knee FROM kk""")
+def n12e(spark, d):
+    from segmentry.plans.table_queries import gaps
+
+    falling = k_scores(spark, d).withColumn("inertia", F.col("inertia") / F.col("k"))
+    return selection.choose_k(falling, ordering.lead_one_se(gaps(spark, d))).select("elbow_knee")
+
+
 @query("n13_rank_synthesis", f"""WITH {_K_SCORES}, a AS (SELECT k, rank() OVER (ORDER BY silhouette DESC) + rank() OVER (ORDER BY davies_bouldin) + rank() OVER (ORDER BY calinski_harabasz DESC) + rank() OVER (ORDER BY stability DESC) AS s FROM ks)
   SELECT k, s::DOUBLE AS selection_rank_sum, row_number() OVER (ORDER BY s, k) = 1 AS is_choice FROM a""")
 def n13(spark, d):

@@ -805,6 +805,35 @@ KNEE_SQL = """c AS (SELECT k, y, (k - min(k) OVER ()) / (max(k) OVER () - min(k)
   FROM (SELECT l_linenumber AS k, count(*) AS y FROM lineitem GROUP BY 1))"""
 
 
+def knee_sql(curve: str) -> str:
+    """CTEs after ``curve`` (k, xs, ys): ``kp`` (points with peaks and thresholds) and ``kk`` (the knee, one row)."""
+    return f"""kp AS (SELECT k, 1 - ys - xs AS d, coalesce(1 - ys - xs >= lag(1 - ys - xs) OVER (ORDER BY k) AND 1 - ys - xs >= lead(1 - ys - xs) OVER (ORDER BY k), false) AS peak,
+    1 - ys - xs - (max(xs) OVER () - min(xs) OVER ()) / (count(*) OVER () - 1) AS t FROM {curve}),
+  kn AS (SELECT *, min(CASE WHEN peak THEN k END) OVER (ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM kp),
+  kk AS (SELECT min(p.k) AS knee FROM kn p WHERE p.peak AND EXISTS (SELECT 1 FROM kp q WHERE q.k > p.k AND q.d < p.t AND q.k < coalesce(p.next, q.k + 1)))"""
+
+
+# A falling convex curve with a knee that the line counts only scale: few lines have a high number.
+_FALLING = """y0 AS (SELECT l_linenumber AS k, count(*)::DOUBLE / l_linenumber AS y FROM lineitem GROUP BY 1),
+  c2 AS (SELECT k, (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ())::DOUBLE AS xs, (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) AS ys FROM y0)"""
+
+
+@query("f10_knee", f"WITH {_FALLING}, {knee_sql('c2')} SELECT k, {r('d')} AS difference, peak AS is_peak, {r('t')} AS threshold, coalesce(k = knee, false) AS is_knee FROM kp, kk")
+def f10k(spark, d):
+    lines = src.table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg((F.count("*") / F.col("k")).alias("inertia"))
+    return ordering.knee(lines).select("k", num6(F.col("difference")).alias("difference"), "is_peak", num6(F.col("threshold")).alias("threshold"), "is_knee")
+
+
+@query("b9_non_finite_places", "SELECT event_id AS row_id, place FROM (SELECT event_id, 0 AS place, isnan(value) OR isinf(value) AS bad FROM events UNION ALL SELECT event_id, 1, value > (SELECT avg(value) FROM events) FROM events) WHERE bad")
+def b9p(spark, d):
+    """Places of what is not finite, where values above the mean overflow to infinity."""
+    events = src.table(spark, d, "events")
+    mean = events.agg(F.avg("value").alias("m"), F.lit(0).alias("__all"))
+    grown = events.withColumn("__all", F.lit(0)).join(F.broadcast(mean), "__all").select(F.col("event_id").alias("row_id"), F.array("value", F.when(F.col("value") > F.col("m"), F.lit(float("inf"))).otherwise(F.lit(0.0))).alias("v"))
+    places = grown.select("row_id", F.posexplode("v").alias("place", "x")).filter(F.col("x").isNotNull())
+    return places.filter(num.finite(F.col("x")).isNull()).select("row_id", "place")
+
+
 @query("f10_difference_curve", f"WITH {KNEE_SQL} SELECT k, {r('1 - ys - xs')} AS difference FROM c")
 def f10(spark, d):
     curve = src.table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.count("*").alias("inertia"))
