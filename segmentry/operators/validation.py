@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmentry.functions import vectors as vec
-from segmentry.functions.hashing import sign
+from segmentry.functions.hashing import draw_key
 from segmentry.operators.moments import centroids, centroids_long, dimension_moments
 from segmentry.operators.order import unpivot
 from segmentry.operators.pairs import cluster_distance_sums, separation
@@ -431,17 +431,46 @@ def co_clustering(bundle: DataFrame, sample: DataFrame, name: str = "candidate")
     return together.withColumn("__all", F.lit(0)).join(F.broadcast(runs), "__all").select("a_id", "b_id", (F.col("n") / F.col("runs")).alias("share"))
 
 
+# Signs of one hash: the bits of an md5 digest.
+_FLIPS = 128
+
+
+def _flip_sums(df: DataFrame, repeats: int, seed: int) -> DataFrame:
+    """``repeat, total, n`` of ``k, d``: the sum of ``d`` under the signs of every repeat.
+
+    Bit ``r % 128`` (first bit of the first byte first) of ``md5(seed:flip:r / 128:k)`` is the sign of a row in repeat ``r``. Spark hashes
+    the words, a task multiplies a batch with its bits and returns one row per repeat.
+    """
+    blocks = -(-repeats // _FLIPS)
+    words = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: draw_key(seed, "flip", b, F.col("k")))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(blocks * _FLIPS), 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            d = batch.column(0).to_numpy(zero_copy_only=False)
+            packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(len(d), blocks, _FLIPS // 8)
+            for b in range(blocks):
+                bits = np.unpackbits(np.ascontiguousarray(packed[:, b]), axis=1)
+                total[b * _FLIPS : (b + 1) * _FLIPS] += d @ (2.0 * bits - 1.0)
+            rows += len(d)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(repeats)), pa.array(total[:repeats]), pa.array(np.full(repeats, rows))], names=["repeat", "total", "n"])
+
+    parts = df.select(F.col("d").cast("double").alias("d"), F.unhex(F.array_join(words, "")).alias("w"))
+    return parts.mapInArrow(sums, "repeat bigint, total double, n bigint").groupBy("repeat").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
 def sign_flip_test(df: DataFrame, difference: str, key: str, repeats: int, seed: int) -> DataFrame:
     """Two-sided paired randomisation test of a mean difference: ``observed, pvalue``.
 
-    Every repeat flips each row's sign by hash; sums per repeat combine before the shuffle.
+    Every repeat flips each row's sign by hash; 128 repeats share a hash, and a task sends one row per repeat.
     """
     from segmentry.functions.numeric import finite
 
     clean = df.select(F.col(key).alias("k"), finite(F.col(difference)).alias("d")).filter(F.col("d").isNotNull())
     observed = clean.agg(F.round(F.abs(F.avg("d")), 12).alias("observed")).withColumn("__all", F.lit(0))
-    flipped = clean.select("d", "k", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    means = flipped.groupBy("repeat").agg(F.round(F.abs(F.avg(F.col("d") * sign(seed, "flip", F.col("repeat"), F.col("k")))), 12).alias("m"))
+    means = _flip_sums(clean, repeats, seed).filter("n > 0").select(F.round(F.abs(F.col("total") / F.col("n")), 12).alias("m"))
     extreme = means.withColumn("__all", F.lit(0)).join(F.broadcast(observed), "__all").groupBy("observed").agg(
         F.count_if(F.col("m") >= F.col("observed")).alias("extreme"))
     return extreme.select("observed", ((F.col("extreme") + 1) / (repeats + 1)).alias("pvalue"))

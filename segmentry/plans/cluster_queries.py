@@ -562,8 +562,14 @@ def n19(spark, d):
     return stability.metric_intervals(wide_labels(spark, d), "label", 20, SEED)
 
 
+def flip_bit_sql(seed: int, repeat: str, key: str) -> str:
+    """Sign of a row in a repeat: a bit of the md5 that 128 repeats share, read from its hexadecimal digit."""
+    digit = f"substr(md5('{seed}:flip:' || ({repeat} // 128)::VARCHAR || ':' || {key}::VARCHAR), ({repeat} % 128 // 4 + 1)::INT, 1)"
+    return f"(2 * (((instr('0123456789abcdef', {digit}) - 1) >> (3 - {repeat} % 4)::INT) & 1) - 1)"
+
+
 @query("n20_sign_flip", f"""WITH t AS (SELECT vec_id AS k, (embedding[1] - embedding[2])::DOUBLE AS d FROM embeddings), o AS (SELECT round(abs(avg(d)), 12) AS m FROM t),
-  f AS (SELECT repeat, round(abs(avg(d * CASE WHEN {uniform_sql(SEED, 'flip', 'repeat', 'k')} < 0.5 THEN 1 ELSE -1 END)), 12) AS m FROM t, (SELECT unnest(range(0, 199)) AS repeat) GROUP BY 1)
+  f AS (SELECT repeat, round(abs(avg(d * {flip_bit_sql(SEED, 'repeat', 'k')})), 12) AS m FROM t, (SELECT unnest(range(0, 199)) AS repeat) GROUP BY 1)
   SELECT {r('any_value(o.m)')} AS observed, {r('(count(*) FILTER (f.m >= o.m) + 1) / 200')} AS pvalue FROM f, o""")
 def n20(spark, d):
     rows = src.table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("embedding")[0] - F.col("embedding")[1]).cast("double").alias("d"))

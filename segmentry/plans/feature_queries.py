@@ -186,6 +186,16 @@ def j9(spark, d):
     return _nonzero(PipelineModel.load(path).transform(rows))
 
 
+@query("j9_table_encoder", _ASSEMBLED)
+def j9t(spark, d):
+    rows = mixed_rows(spark, d)
+    # No vocabulary is small enough here, so rows meet their words by a join.
+    encoder, _ = enc.fit_encoder(rows, ["balance"], ["segment"], ["types"], "robust", key="row_id", vocabulary_bytes=0)
+    path = stage_path(spark, "table-encoder")
+    encoder.save(path)
+    return _nonzero(enc.TableEncoder.load(spark, path).transform(rows))
+
+
 @query("a9_sparse_layer", f"WITH {fx.V_LABELS} SELECT row_id, len({LABEL_LIST.format(c='types')})::BIGINT AS filled FROM v_labels")
 def a9(spark, d):
     rows = fx.v_labels(spark, d)
