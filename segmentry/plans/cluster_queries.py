@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from segmentry.functions import numeric as num
 from segmentry.functions import vectors as vec
-from segmentry.operators import anomaly, condensed, consensus, density, explain, hierarchy, kmeans, mixture, monitoring, pairs, selection, spectral, stability, supervised, tendency
+from segmentry.operators import anomaly, condensed, consensus, density, explain, hierarchy, kmeans, leaves, mixture, monitoring, pairs, selection, spectral, stability, supervised, tendency
 from segmentry.operators import order as ordering
 from segmentry.operators import profiling as prof
 from segmentry.operators import sampling as samp
@@ -235,6 +235,69 @@ def m8(spark, d):
     return hierarchy.cophenetic_correlation(hierarchy.agglomerate(items, table, "average"), table).select(num6(F.col("cophenetic_correlation")).alias("cophenetic_correlation"))
 
 
+# Leaves of a feature tree over all rows, and what the linkages make of them step by step.
+_RADIUS = 0.95
+_LEAVES = f"""{fx.V_LONG}, t AS (SELECT 0 AS depth, row_id, '' AS node FROM v_vec UNION ALL
+  SELECT t.depth + 1, t.row_id, t.node || CASE WHEN v.v[s.dim] > s.cut THEN '1' ELSE '0' END FROM t JOIN v_vec v USING (row_id) JOIN (
+    SELECT node, dim, low + (high - low) / 2 AS cut FROM (SELECT *, sum(m) OVER (PARTITION BY node) AS r2, row_number() OVER (PARTITION BY node ORDER BY high - low DESC, dim) AS i FROM (
+      SELECT t.node, dim, var_pop(x) AS m, min(x) AS low, max(x) AS high FROM t JOIN v_long USING (row_id) GROUP BY 1, 2)) WHERE i = 1 AND high > low AND r2 > {_RADIUS * _RADIUS}) s USING (node)),
+  members AS MATERIALIZED (SELECT row_id, min(row_id) OVER (PARTITION BY node) AS leaf FROM (SELECT row_id, arg_max(node, depth) AS node FROM t GROUP BY 1)),
+  items AS MATERIALIZED (SELECT leaf, list(m ORDER BY dim) AS v, max(n) AS w, sum(ss) AS inner_ss FROM (
+    SELECT leaf, dim, avg(x) AS m, count(*) AS n, var_pop(x) * count(*) AS ss FROM members JOIN v_long USING (row_id) GROUP BY 1, 2) GROUP BY 1)"""
+_LINKED = f"""{_LEAVES}, d AS MATERIALIZED (SELECT a.leaf AS a, b.leaf AS b, list_distance(a.v, b.v) AS d, (a.w * b.w)::DOUBLE AS w FROM items a, items b),
+  s AS (SELECT linkage, 0 AS step, leaf, leaf AS c, NULL::BIGINT AS l, NULL::BIGINT AS r, NULL::DOUBLE AS height, NULL::DOUBLE AS links, NULL::DOUBLE AS linked
+    FROM items, (SELECT unnest(['single', 'complete', 'average', 'ward']) AS linkage) UNION ALL
+    SELECT s.linkage, s.step + 1, s.leaf, CASE WHEN s.c = m.b THEN m.a ELSE s.c END, m.a, m.b, m.h, m.links, m.linked FROM s JOIN (
+      SELECT *, row_number() OVER (PARTITION BY linkage ORDER BY h, a, b) AS i FROM (
+        SELECT g.linkage, g.a, g.b, g.links, g.linked, CASE g.linkage WHEN 'single' THEN low WHEN 'complete' THEN high WHEN 'average' THEN g.dist / g.ww
+          ELSE sqrt(2 * sqrt(ga.ww) * sqrt(gb.ww) / (sqrt(ga.ww) + sqrt(gb.ww)) * greatest(g.sq / g.ww - ga.sq / ga.ww / 2 - gb.sq / gb.ww / 2, 0)) END AS h
+        FROM (SELECT x.linkage, x.c AS a, y.c AS b, min(d) AS low, max(d) AS high, sum(w * d) AS dist, sum(w * d * d) AS sq, sum(w) AS ww, count(*) AS links, sum(d) AS linked
+            FROM s x JOIN s y ON x.linkage = y.linkage AND x.c < y.c JOIN d ON d.a = x.leaf AND d.b = y.leaf GROUP BY 1, 2, 3) g
+          JOIN (SELECT x.linkage, x.c AS c, sum(w * d * d) AS sq, sum(w) AS ww FROM s x JOIN s y ON x.linkage = y.linkage AND x.c = y.c JOIN d ON d.a = x.leaf AND d.b = y.leaf GROUP BY 1, 2) ga
+            ON ga.linkage = g.linkage AND ga.c = g.a
+          JOIN (SELECT x.linkage, x.c AS c, sum(w * d * d) AS sq, sum(w) AS ww FROM s x JOIN s y ON x.linkage = y.linkage AND x.c = y.c JOIN d ON d.a = x.leaf AND d.b = y.leaf GROUP BY 1, 2) gb
+            ON gb.linkage = g.linkage AND gb.c = g.b)) m ON m.linkage = s.linkage AND m.i = 1),
+  merges AS (SELECT DISTINCT linkage, step, l, r, height, links, linked FROM s WHERE step > 0)"""
+
+
+def _leaf_merges(spark, d):
+    tree = leaves.feature_tree(fx.v_vec(spark, d), _RADIUS)
+    items = tree.items.select("row_id", "v", "weight")
+    table = cut_lineage(hierarchy.pair_table(items))
+    merges = cut_lineage(hierarchy.agglomerate_all(items, table))
+    return tree, items, table, {n: merges.filter(F.col("linkage") == n).drop("linkage") for n in hierarchy.LINKAGES}
+
+
+@query("m6_feature_tree", f"""WITH RECURSIVE {_LEAVES} SELECT leaf, w AS rows, {r('inner_ss', 5)} AS inner_squares, {r('inner_ss / (SELECT sum(q) FROM (SELECT var_pop(x) * count(*) AS q FROM v_long GROUP BY dim))', 6)} AS share_lost FROM items""")
+def m6t(spark, d):
+    tree = leaves.feature_tree(fx.v_vec(spark, d), _RADIUS)
+    return tree.items.select(F.col("row_id").alias("leaf"), F.col("weight").alias("rows"), num6(F.col("inner"), 5).alias("inner_squares"), num6(F.col("inner") / tree.total).alias("share_lost"))
+
+
+@query("m6_linkages", f"""WITH RECURSIVE {_LINKED} SELECT linkage, l AS "left", r AS "right", {r('height', 5)} AS height FROM merges""")
+def m6l(spark, d):
+    _, _, _, merges = _leaf_merges(spark, d)
+    return reduce(lambda a, b: a.unionByName(b), [m.select(F.lit(n).alias("linkage"), "left", "right", num6(F.col("height"), 5).alias("height")) for n, m in merges.items()])
+
+
+@query("m7_linkage_cuts", f"""WITH RECURSIVE {_LINKED} SELECT linkage, row_id, dense_rank() OVER (PARTITION BY linkage ORDER BY c) - 1 AS cluster FROM members JOIN s USING (leaf)
+  WHERE step = (SELECT count(*) - 4 FROM items)""")
+def m7l(spark, d):
+    tree, items, _, merges = _leaf_merges(spark, d)
+    cuts = [hierarchy.cut_count(items, m, 4).select(F.lit(n).alias("linkage"), F.col("row_id").alias("leaf"), "cluster") for n, m in merges.items()]
+    labels = cut_lineage(reduce(lambda a, b: a.unionByName(b), cuts))
+    return tree.members.join(labels, "leaf").select("linkage", "row_id", F.col("cluster").cast("bigint").alias("cluster"))
+
+
+@query("m8_linkage_cophenetic", f"""WITH RECURSIVE {_LINKED}, sums AS (SELECT linkage, sum(links) AS n, sum(links * height) AS h, sum(links * height * height) AS hh, sum(height * linked) AS hd FROM merges GROUP BY 1),
+  plain AS (SELECT sum(d) AS s, sum(d * d) AS ss FROM d WHERE a < b)
+  SELECT linkage, {r('(n * hd - h * s) / sqrt((n * hh - h * h) * (n * ss - s * s))', 5)} AS cophenetic_correlation FROM sums, plain""")
+def m8l(spark, d):
+    _, _, table, merges = _leaf_merges(spark, d)
+    parts = [hierarchy.cophenetic_correlation(m, table).select(F.lit(n).alias("linkage"), num6(F.col("cophenetic_correlation"), 5).alias("cophenetic_correlation")) for n, m in merges.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("m9_k_distance_curve", f"""WITH {PAIRS}, k AS (SELECT a AS row_id, d FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS i FROM p) WHERE i = 19)
   SELECT row_number() OVER (ORDER BY d) AS rank, {r('d')} AS k_distance FROM k""")
 def m9(spark, d):
