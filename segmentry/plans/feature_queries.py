@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -276,6 +277,55 @@ def k4(spark, d):
     return table[0].unionByName(table[1]).unionByName(table[2])
 
 
+_FIXED_KS = (2, 3, 4, 5, 6)
+
+
+def _fixed_factors(k, width):
+    """Components that are strong on every k-th feature; no two rows of a component are alike, so that weights do not tie."""
+    c, j = np.indices((k, width))
+    return np.where(j % k == c, 1.0 + c / 100, 0.1 + (7 * j + 3 * c) % 5 / 100)
+
+
+_STEPS = 3
+_WEIGHT_STEPS = ", ".join(f"""w{i + 1} AS (SELECT w.k, w.row_id, w.c, w.w * cr.x / greatest(den.den, 1e-12) AS w FROM w{i} w JOIN cr USING (k, row_id, c)
+  JOIN (SELECT w.k, w.row_id, g.b AS c, sum(w.w * g.g) AS den FROM w{i} w JOIN g ON g.k = w.k AND g.a = w.c GROUP BY 1, 2, 3) den USING (k, row_id, c))""" for i in range(_STEPS))
+
+
+@query("k4_nmf_choice", f"""WITH {fx.V_LABELS}, {_WORDS}, x AS MATERIALIZED (SELECT DISTINCT row_id, feature_id AS j FROM (SELECT row_id, 'types' AS block, unnest({LABEL_LIST.format(c='types')}) AS item FROM v_labels WHERE types IS NOT NULL
+    UNION ALL SELECT row_id, 'brands', unnest({LABEL_LIST.format(c='brands')}) FROM v_labels WHERE types IS NOT NULL) JOIN w USING (block, item)),
+  h AS (SELECT k, c, feature_id AS j, CASE WHEN feature_id % k = c THEN 1 + c / 100 ELSE 0.1 + (7 * feature_id + 3 * c) % 5 / 100 END AS h FROM w, (SELECT k, unnest(range(0, k)) AS c FROM (SELECT unnest({list(_FIXED_KS)}) AS k))),
+  g AS MATERIALIZED (SELECT a.k, a.c AS a, b.c AS b, sum(a.h * b.h) AS g FROM h a JOIN h b USING (k, j) GROUP BY 1, 2, 3),
+  cr AS MATERIALIZED (SELECT k, row_id, c, sum(h) AS x FROM x JOIN h USING (j) GROUP BY 1, 2, 3), w0 AS (SELECT k, row_id, c, 1 / k AS w FROM cr), {_WEIGHT_STEPS},
+  wf AS MATERIALIZED (FROM w{_STEPS}),
+  lab AS MATERIALIZED (SELECT k, row_id, c FROM (SELECT *, row_number() OVER (PARTITION BY k, row_id ORDER BY w DESC, c) AS i FROM wf) WHERE i = 1),
+  size AS MATERIALIZED (SELECT k, c, count(*) AS n FROM lab GROUP BY 1, 2),
+  total AS (SELECT k, count(*) AS clusters, sum(n) AS n, CASE WHEN count(*) < k THEN 0 ELSE min(n) / sum(n) END AS smallest FROM size GROUP BY 1),
+  err AS (SELECT k, sqrt(sum(q) + (SELECT count(*) FROM x)) AS e FROM (SELECT k, -2 * sum(w * x) AS q FROM wf JOIN cr USING (k, row_id, c) GROUP BY 1
+    UNION ALL SELECT a.k, sum(a.w * b.w * g.g) FROM wf a JOIN wf b USING (k, row_id) JOIN g ON g.k = a.k AND g.a = a.c AND g.b = b.c GROUP BY 1) GROUP BY 1),
+  u AS MATERIALIZED (SELECT row_id, j, 1 / sqrt(count(*) OVER (PARTITION BY row_id)) AS u FROM x),
+  sums AS (SELECT k, c, j, sum(u) AS s FROM lab JOIN u USING (row_id) GROUP BY 1, 2, 3),
+  far AS (SELECT size.k, r.row_id, size.c, size.n, size.n - coalesce(d.d, 0) AS t FROM size, (SELECT DISTINCT row_id FROM x) r LEFT JOIN (SELECT k, row_id, c, sum(u * s) AS d FROM u JOIN sums USING (j) GROUP BY 1, 2, 3) d
+    ON d.k = size.k AND d.row_id = r.row_id AND d.c = size.c),
+  sil AS (SELECT k, avg(CASE WHEN n = 1 THEN 0 WHEN greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS s FROM (
+    SELECT far.k, far.row_id, max(far.n) FILTER (far.c = lab.c) AS n, max(t / nullif(far.n - 1, 0)) FILTER (far.c = lab.c) AS a, min(t / far.n) FILTER (far.c <> lab.c) AS b
+    FROM far JOIN lab ON lab.k = far.k AND lab.row_id = far.row_id GROUP BY 1, 2) GROUP BY 1),
+  cell AS (SELECT k, row_id % 3 AS a, c AS b, count(*) AS n FROM lab GROUP BY 1, 2, 3), ra AS (SELECT k, a, sum(n) AS n FROM cell GROUP BY 1, 2), rb AS (SELECT k, b, sum(n) AS n FROM cell GROUP BY 1, 2),
+  pc AS (SELECT k, sum(n * (n - 1) / 2) AS p FROM cell GROUP BY 1), pa AS (SELECT k, sum(n * (n - 1) / 2) AS p FROM ra GROUP BY 1), pb AS (SELECT k, sum(n * (n - 1) / 2) AS p FROM rb GROUP BY 1),
+  ha AS (SELECT k, -sum(ra.n / t.n * ln(ra.n / t.n)) AS h FROM ra JOIN total t USING (k) GROUP BY 1), hb AS (SELECT k, -sum(rb.n / t.n * ln(rb.n / t.n)) AS h FROM rb JOIN total t USING (k) GROUP BY 1),
+  mi AS (SELECT cell.k, sum(cell.n / t.n * ln(cell.n * t.n / (ra.n * rb.n))) AS m FROM cell JOIN total t USING (k) JOIN ra ON ra.k = cell.k AND ra.a = cell.a JOIN rb ON rb.k = cell.k AND rb.b = cell.b GROUP BY 1),
+  f AS (SELECT total.k, sil.s, smallest, e / n AS e, (pc.p - pa.p * pb.p / (n * (n - 1) / 2)) / ((pa.p + pb.p) / 2 - pa.p * pb.p / (n * (n - 1) / 2)) AS ari, m / ((ha.h + hb.h) / 2) AS nmi,
+    clusters > 1 AND smallest >= 0.02 AS valid FROM total JOIN sil USING (k) JOIN err USING (k) JOIN pc USING (k) JOIN pa USING (k) JOIN pb USING (k) JOIN ha USING (k) JOIN hb USING (k) JOIN mi USING (k))
+  SELECT k::INT AS components, {r('s')} AS cosine_silhouette, {r('smallest')} AS minimum_cluster_fraction, {r('e')} AS error_per_row, {r('ari')} AS ari_vs_reference, {r('nmi')} AS nmi_vs_reference, valid,
+    coalesce(k = (SELECT k FROM f WHERE valid ORDER BY s DESC, k LIMIT 1), false) AS selected FROM f""")
+def k4c(spark, d):
+    rows, words = indicator_rows(spark, d)
+    rows, width = cut_lineage(rows), words.count()
+    fits = {k: fac.Factors(_fixed_factors(k, width), []) for k in _FIXED_KS}
+    table = fac.nmf_choice(rows, fits, rows.select("row_id", (F.col("row_id") % 3).alias("cluster")), inner=_STEPS)
+    values = ("cosine_silhouette", "minimum_cluster_fraction", "error_per_row", "ari_vs_reference", "nmi_vs_reference")
+    return table.withColumns({c: num6(F.col(c)) for c in values})
+
+
 @query("k5_component_top_terms")
 def k5(spark, d):
     rows, words = indicator_rows(spark, d)
