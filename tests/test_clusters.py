@@ -335,6 +335,26 @@ def test_spectral_embedding_settles_on_a_ring(spark):
     assert np.allclose(values, [1.0, (1 + 2 * np.cos(2 * np.pi / 120)) / 3, (1 + 2 * np.cos(2 * np.pi / 120)) / 3], atol=2e-4)
 
 
+def test_spectral_steps_do_not_shuffle_the_edges(spark, monkeypatch):
+    graph = spark.createDataFrame([(i, (i + d) % 120, 1.0) for i in range(120) for d in (-1, 0, 1)], "src bigint, dst bigint, w double")
+    block = spark.createDataFrame([(i, float(i % 7)) for i in range(120)], "row_id bigint, u0 double")
+    monkeypatch.setattr(spectral, "cut_lineage", lambda df: df)
+    own, seen = spectral._heard, []
+    monkeypatch.setattr(spectral, "_heard", lambda *a: seen.append(own(*a)) or seen[-1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for limit in (spectral.BROADCAST_BYTES, 0):
+            monkeypatch.setattr(spectral, "BROADCAST_BYTES", limit)
+            with pytest.raises(RuntimeError, match="not converged"):
+                spectral.spectral_embedding(graph, 3, 1, rounds=0)
+        plans = [h._jdf.queryExecution().executedPlan().toString() for h in seen]
+        near, far = (own(graph, block, ["u0"], small) for small in (True, False))
+        assert near.orderBy("row_id").collect() == far.orderBy("row_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
+
+
 def test_unsettled_spectral_embedding_is_an_error(spark):
     graph = spark.createDataFrame([(i, (i + d) % 120, 1.0) for i in range(120) for d in (-1, 0, 1)], "src bigint, dst bigint, w double")
     with pytest.raises(RuntimeError, match="not converged"):
