@@ -44,6 +44,23 @@ def test_index_cells_send_a_row_once_per_block(spark, monkeypatch):
     assert near.filter("__i = __j").count() == 2000
 
 
+def test_pair_steps_send_rows_once_per_block(spark, monkeypatch):
+    """Silhouettes, separations, neighbours and counts within a radius, block by block and by the index: no row is sent to more cells than there are blocks."""
+    sent, run = [], pairs._run_cells
+
+    def counted(placed, kernel, schema):
+        sent.append(placed.count())
+        return run(placed, kernel, schema)
+
+    monkeypatch.setattr(pairs, "_run_cells", counted)
+    for name, value in (("BLOCKS", 4), ("BLOCK_ROWS", 64), ("PLAIN_ROWS", 500)):
+        monkeypatch.setattr(pairs, name, value)
+    for n in (400, 1600):
+        df = frame(spark, *blobs(n, d=4, k=3))
+        pairs.cluster_distance_sums(df, ["cluster"]), pairs.separation(df), pairs.self_knn(df, 3), pairs.eps_counts(df, 100.0)
+    assert max(sent[:4]) <= 4 * 400 and max(sent[4:]) <= 4 * 1600
+
+
 def test_cross_tree_is_least():
     rng = np.random.default_rng(4)
     w = rng.integers(1, 9, size=(13, 7)).astype(float)
